@@ -1,0 +1,5 @@
+"""No stream operators: every job of this engine is a batch job.
+
+The expressions in ``reviewloom.functions`` keep no state, so they can be used
+on a ``readStream`` DataFrame unchanged.
+"""
