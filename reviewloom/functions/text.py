@@ -63,12 +63,23 @@ def lexemes(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(1))
 
 
+def _starts(lex: Column, first: str, last: str) -> Column:
+    """True if the first character lies between two ASCII characters."""
+    return (lex >= F.lit(first)) & (lex < F.lit(chr(ord(last) + 1)))
+
+
 def sign_tag(lex: Column) -> Column:
-    """Tag of a non-letter token, NULL for letters."""
-    tag = F.when(lex.rlike("^[0-9]"), F.lit("SN"))
+    """Tag of a non-letter token, NULL for letters.
+
+    ASCII letters and digits are told by comparison; only what is left meets a
+    regular expression.
+    """
+    letter = F.lit(None).cast("string")
+    tag = (F.when(_starts(lex, "a", "z") | _starts(lex, "A", "Z"), letter)
+           .when(_starts(lex, "0", "9"), F.lit("SN")))
     for name, signs in SIGN_TAGS.items():
         tag = tag.when(lex.isin(signs), F.lit(name))
-    return tag.when(~lex.rlike(r"^\p{L}"), F.lit("SW"))
+    return tag.when(lex.rlike(r"^\p{L}"), letter).otherwise(F.lit("SW"))
 
 
 def script_tag(lex: Column) -> Column:

@@ -22,10 +22,9 @@ BATCH = 1024
 ROWS = 128
 
 
-def top_vocabulary(docs: DataFrame, max_features: int = 500, doc: str = "doc_id",
-                   text: str = "text", tokenizer: T.Tokenizer = T.words) -> DataFrame:
+def top_vocabulary(docs: DataFrame, max_features: int = 500, text: str = "text", tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """The terms found in most documents, (term, df, idx) with idx in term order of rank."""
-    df = document_frequency(docs, doc, text, tokenizer)
+    df = document_frequency(docs, text, tokenizer)
     head = number_head(df, [F.col("df").desc(), F.col("term")], max_features, "idx")
     return head.withColumn("idx", F.col("idx") - 1)
 
@@ -37,7 +36,7 @@ def presence(docs: DataFrame, vocab: DataFrame, max_features: int, doc: str = "d
     A document holds at most `max_features` of them.
     """
     rows = token_rows(docs, doc, text=text,
-                      tokenizer=lambda t: F.array_distinct(tokenizer(t)), name="term")
+                      tokenizer=lambda t: F.array_distinct(tokenizer(t)), name="term", doc=doc)
     found = rows.join(bounded(vocab.select("term", "idx"), max_features), "term")
     return found.groupBy(doc).agg(F.collect_list("idx").alias("ids"))
 
@@ -96,7 +95,7 @@ def pair_counts(found: DataFrame, vocabulary: int) -> DataFrame:
 def cooccurrence(docs: DataFrame, max_features: int = 500, doc: str = "doc_id",
                  text: str = "text", tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """Pairs of frequent terms in one document, (term_i, term_j, n), term_i < term_j."""
-    vocab = top_vocabulary(docs, max_features, doc, text, tokenizer)
+    vocab = top_vocabulary(docs, max_features, text, tokenizer)
     found = presence(docs, vocab, max_features, doc, text, tokenizer)
     pairs = pair_counts(found, max_features)
     a = bounded(vocab.select(F.col("idx").alias("i"), F.col("term").alias("a")), max_features)

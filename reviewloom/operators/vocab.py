@@ -24,9 +24,14 @@ def word_table(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
 
 def token_rows(docs: DataFrame, *keep: str, text: str = "text",
-               tokenizer: T.Tokenizer = T.words, name: str = "w") -> DataFrame:
-    """One row per token with the `keep` columns, position left out."""
-    return spread(docs.select(*keep, text), *keep[:1]).select(
+               tokenizer: T.Tokenizer = T.words, name: str = "w",
+               doc: str | None = None) -> DataFrame:
+    """One row per token with the `keep` columns, position left out.
+
+    `doc` names a column that tells documents apart: rows are then kept by
+    document, so counting per document needs no further shuffle.
+    """
+    return spread(docs.select(*keep, text), *([doc] if doc else [])).select(
         *keep, F.explode(tokenizer(F.col(text))).alias(name))
 
 
@@ -138,7 +143,7 @@ def docs_in_vocab(docs: DataFrame, lookup: DataFrame, doc: str = "doc_id", text:
     comes from `term_lookup`; it holds one row per raw form, so its size is not
     proven and it is joined with its frequent forms split.
     """
-    per_doc = (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="lex")
+    per_doc = (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="lex", doc=doc)
                .groupBy(doc, "lex").agg(F.count("*").alias("k")))
     hot = hot_keys(lookup, "lex", "n")
     found = salted_join(per_doc, lookup.select("lex", "idx", "term"), "lex", hot, doc)
@@ -165,16 +170,16 @@ def filter_by_vocab(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id",
 def bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                  tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """(doc, term, n) of every document."""
-    return (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="term")
+    return (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="term", doc=doc)
             .groupBy(doc, "term").agg(F.count("*").alias("n")))
 
 
-def document_frequency(docs: DataFrame, doc: str = "doc_id", text: str = "text",
+def document_frequency(docs: DataFrame, text: str = "text",
                        tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """Number of documents per term, (term, df)."""
     def distinct(t: Column) -> Column:
         return F.array_distinct(tokenizer(t))
-    return (token_rows(docs, doc, text=text, tokenizer=distinct, name="term")
+    return (token_rows(docs, text=text, tokenizer=distinct, name="term")
             .groupBy("term").agg(F.count("*").alias("df")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from reviewloom.operators.ordering import number_head, top_n
@@ -36,8 +36,12 @@ def limit_vocabulary(tf: DataFrame, max_features: int | None) -> DataFrame:
 
 
 def idf_table(tf: DataFrame, n_docs: Column, kind: str = "smooth") -> DataFrame:
-    """(term, df, idf) from term frequencies (doc, term, n)."""
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df, idf) from term frequencies (doc, term, n).
+
+    Counting by `n` rather than by rows keeps the plan of `tf` the same here
+    and where it is weighted, so its shuffle is read twice and made once.
+    """
+    df = tf.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     return df.select("term", "df", idf_of(F.col("df"), n_docs, kind).alias("idf"))
 
 
@@ -58,22 +62,24 @@ def raw_weights(tf: DataFrame, idf: DataFrame, doc: str, sublinear: bool = False
     return found.withColumn("raw", count * F.col("idf")).drop("idf")
 
 
-def norm_of(norm: str | None) -> Column:
+def norm_of(norm: str | None, over: WindowSpec | None = None) -> Column:
     """Aggregate that gives the length of a document vector."""
-    if norm == "l2":
-        return F.sqrt(F.sum(F.col("raw") * F.col("raw")))
-    if norm == "l1":
-        return F.sum(F.abs("raw"))
-    return F.lit(1.0)
+    if norm is None:
+        return F.lit(1.0)
+    total = F.sum(F.col("raw") * F.col("raw") if norm == "l2" else F.abs("raw"))
+    total = total if over is None else total.over(over)
+    return F.sqrt(total) if norm == "l2" else total
 
 
 def tfidf(tf: DataFrame, n_docs: Column, doc: str, idf: str = "smooth", sublinear: bool = False,
           norm: str | None = "l2", max_features: int | None = None,
-          drop_zero: bool = False) -> DataFrame:
+          drop_zero: bool = False, grouped: bool = False) -> DataFrame:
     """Weights (doc, term, weight) from term frequencies (doc, term, n).
 
-    Norms are summed per document and joined back, with large documents split,
-    so no document has to fit one task.
+    Other columns of `tf` are kept. A document that was one row of text is
+    normalised by a window over its own terms. With `grouped`, when a document
+    stands for many rows (an app), norms are summed apart and joined back with
+    large documents split.
     """
     tf = limit_vocabulary(tf, max_features)
     table = idf_table(tf, n_docs, idf)
@@ -81,10 +87,14 @@ def tfidf(tf: DataFrame, n_docs: Column, doc: str, idf: str = "smooth", sublinea
     if drop_zero:
         raw = raw.where(F.col("raw") != 0)
     if norm is None:
-        return raw.select(doc, "term", F.col("raw").alias("weight"))
-    norms = raw.groupBy(doc).agg(norm_of(norm).alias("norm"), F.count("*").alias("k"))
-    joined = salted_join(raw, norms.select(doc, "norm"), doc, hot_keys(norms, doc, "k"), "term")
-    return joined.select(doc, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+        return raw.withColumn("weight", F.col("raw")).drop("n", "raw")
+    if grouped:
+        norms = raw.groupBy(doc).agg(norm_of(norm).alias("norm"), F.count("*").alias("k"))
+        hot = hot_keys(norms, doc, "k")
+        raw = salted_join(raw, norms.select(doc, "norm"), doc, hot, "term")
+    else:
+        raw = raw.withColumn("norm", norm_of(norm, Window.partitionBy(doc)))
+    return raw.withColumn("weight", F.col("raw") / F.col("norm")).drop("n", "raw", "norm")
 
 
 def count_weights(tf: DataFrame) -> DataFrame:

@@ -32,11 +32,11 @@ def dictionary_of(counts: DataFrame) -> DataFrame:
     return vocab.dictionary(counts, POS, MIN_LENGTH, VOCABULARY)
 
 
-@query("tokens", f"WITH {TOK} SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id")
+@query("tokens", f"WITH {TOK} SELECT doc_id, len(l) AS n FROM tokl")
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(docs_of(spark, sf), "doc_id")
     n = F.size(T.words("text")).cast("bigint")
-    return docs.select("doc_id", n.alias("n")).where("n > 0")
+    return docs.select("doc_id", n.alias("n"))
 
 
 @query("tokenize_tagged", f"WITH {TAG} SELECT lex, pos, n FROM tagn")
@@ -83,11 +83,11 @@ def filter_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @query("deny_tokens", f"""
 WITH {TAG} SELECT doc_id,
   count(*) FILTER (pos NOT IN ('SF', 'SE', 'SS', 'SP', 'SO', 'SW')) AS n
-FROM lexs JOIN tagn USING (lex) GROUP BY doc_id""")
+FROM documents LEFT JOIN lexs USING (doc_id) LEFT JOIN tagn USING (lex) GROUP BY doc_id""")
 def deny_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(docs_of(spark, sf), "doc_id").select("doc_id", T.tag_unknown("text").alias("t"))
     kept = F.size(K.deny_tokens("t")).cast("bigint")
-    return docs.where(F.size("t") > 0).select("doc_id", kept.alias("n"))
+    return docs.select("doc_id", kept.alias("n"))
 
 
 @query("lemma_tokens", f"""
@@ -245,7 +245,8 @@ WITH {TAG} SELECT lex, n, docs FROM tagn
 JOIN (SELECT lex, count(DISTINCT doc_id) AS docs FROM lexs GROUP BY lex) USING (lex)
 WHERE pos = 'NA'""")
 def unknown_words(spark: SparkSession, sf: str) -> DataFrame:
-    postings = (vocab.token_rows(docs_of(spark, sf), "doc_id", tokenizer=T.lexemes, name="lex")
+    postings = (vocab.token_rows(docs_of(spark, sf), "doc_id", tokenizer=T.lexemes, name="lex",
+                                 doc="doc_id")
                 .groupBy("lex", "doc_id").agg(F.count("*").alias("n")))
     words = vocab.unknown_words(postings)
     return words.where(vocab.corpus_tag(F.col("lex"), F.col("n")) == "NA")

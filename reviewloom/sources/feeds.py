@@ -85,8 +85,13 @@ def flatten_reviews(pages: DataFrame, votes: bool = False) -> DataFrame:
     return flat.select(*[fields.clean_field(c).alias(c) for c in flat.columns])
 
 
+def parse_xml_feeds(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Landed XML feeds kept one per row, as columns."""
+    return lines.select(F.from_xml(value, schemas.XML_FEED).alias("f")).select("f.*")
+
+
 def read_xml_feed(spark: SparkSession, path) -> DataFrame:
-    """Landed XML feeds, one row per feed."""
+    """Landed XML feeds, one document per file, one row per feed."""
     return (spark.read.format("xml").option("rowTag", "feed")
             .schema(schemas.XML_FEED).load(path))
 
