@@ -24,8 +24,11 @@ def clean_field(text: Column | str) -> Column:
 
 
 def for_tsv(text: Column | str) -> Column:
-    """A cleaned field as it stands in a TSV file, where NULL is NaN."""
-    return F.coalesce(clean_field(text), F.lit("NaN"))
+    """A cleaned field as it stands in a TSV file, where NULL is NaN.
+
+    Carriage returns become blanks too: readers may end a row at them.
+    """
+    return F.coalesce(clean_field(F.translate(_col(text), "\r", " ")), F.lit("NaN"))
 
 
 def author_id(url: Column | str) -> Column:

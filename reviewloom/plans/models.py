@@ -188,7 +188,7 @@ def logreg_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("svm_predict")
 def svm_predict(spark: SparkSession, sf: str) -> DataFrame:
     docs = rated_words(spark, sf)
-    model = classify.svm_pipeline().fit(docs.where("NOT te"))
+    model = classify.svm_pipeline(classes=2).fit(docs.where("NOT te"))
     return classify.predictions(model, docs.where("te"), "doc_id", "label")
 
 

@@ -84,7 +84,9 @@ def write_tsv(df: DataFrame, path: str, clean: bool = False) -> None:
     if clean:
         df = df.select(*[fields.for_tsv(c).alias(c) for c in df.columns])
     (df.write.option("sep", "\t").option("header", True).option("quote", "")
-     .option("nullValue", "NaN").option("emptyValue", "").csv(path))
+     .option("nullValue", "NaN").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
