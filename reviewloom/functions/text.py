@@ -104,10 +104,14 @@ def tag_by_script(text: Column | str) -> Column:
     return F.transform(lexemes(text), lambda x: token(x, script_tag(x)))
 
 
+def open_tag(lex: Column) -> Column:
+    """Tag of signs and digits; letter runs stay open (NA)."""
+    return F.coalesce(sign_tag(lex), F.lit("NA"))
+
+
 def tag_unknown(text: Column | str) -> Column:
     """Tokenizer that leaves every letter run to be looked up later (NA)."""
-    return F.transform(
-        lexemes(text), lambda x: token(x, F.coalesce(sign_tag(x), F.lit("NA"))))
+    return F.transform(lexemes(text), lambda x: token(x, open_tag(x)))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -52,7 +52,7 @@ def cluster_sizes(clustered: DataFrame, category: str) -> DataFrame:
     """
     pairs = clustered.groupBy("cluster", category).agg(F.count("*").alias("n"))
     return pairs.groupBy("cluster").agg(
-        F.sum("n").alias("size"), F.array_sort(F.collect_set(category)).alias("categories"))
+        F.sum("n").alias("size"), F.sort_array(F.collect_set(category)).alias("categories"))
 
 
 def cluster_report(model: KMeansModel, clustered: DataFrame, vocab: DataFrame, category: str,
@@ -62,7 +62,7 @@ def cluster_report(model: KMeansModel, clustered: DataFrame, vocab: DataFrame, c
     k = len(model.clusterCenters())
     every = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     words = center_words(model, vocab, n).groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x.word)
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x.word)
         .alias("words"))
     sizes = cluster_sizes(clustered, category)
     return (every.join(words, "cluster", "left").join(sizes, "cluster", "left")

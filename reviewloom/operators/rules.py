@@ -202,7 +202,7 @@ def split_by_table(docs: DataFrame, rules: Sequence[Rule], doc: str, tokens: str
     joined = salted_join(rows, found.drop("unknown"), "lex", hot, "seq", "left")
     part = F.when(F.col("unknown") & F.col("made").isNotNull(), F.col("made")).otherwise(
         F.array(token(F.col("lex"), F.col("pos"))))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", part.alias("part"))))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", part.alias("part"))))
     rebuilt = joined.groupBy(doc).agg(
         F.flatten(F.transform(ordered, lambda x: x.part)).alias(tokens))
     return docs.select(*others).join(rebuilt, doc, "left").withColumn(

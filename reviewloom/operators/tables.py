@@ -29,7 +29,7 @@ def per_app_docs(docs: DataFrame, app: str, seq: str, tokens: str, *first: str,
     """
     row = F.struct(F.col(seq).alias("seq"), F.col(tokens).alias("tokens"),
                    *([F.col(rating).alias("rating")] if rating else []))
-    ordered = F.array_sort(F.collect_list(row))
+    ordered = F.sort_array(F.collect_list(row))
     aggs = [F.count("*").alias("docs"),
             F.flatten(F.transform(ordered, lambda x: x.tokens)).alias("tokens"),
             *[F.min_by(c, seq).alias(c) for c in first]]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators.ordering import global_index, number_head
-from reviewloom.runtime import bounded, hot_keys, salted_join, spread
+from reviewloom.runtime import bounded, hot_keys, salted_join
 
 # Fixed value: size of a dictionary unless another is asked for.
 MAX_WORDS = 100_000
@@ -19,20 +19,19 @@ MAX_WORDS = 100_000
 def word_table(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """One row (doc, seq, w) per token."""
-    return spread(docs.select(doc, text), doc).select(
-        doc, F.posexplode(tokenizer(F.col(text))).alias("seq", "w"))
+    return docs.select(doc, F.posexplode(tokenizer(F.col(text))).alias("seq", "w"))
 
 
 def token_rows(docs: DataFrame, *keep: str, text: str = "text",
-               tokenizer: T.Tokenizer = T.words, name: str = "w",
-               doc: str | None = None) -> DataFrame:
+               tokenizer: T.Tokenizer = T.words, name: str = "w") -> DataFrame:
     """One row per token with the `keep` columns, position left out.
 
-    `doc` names a column that tells documents apart: rows are then kept by
-    document, so counting per document needs no further shuffle.
+    Tokens are never NULL; saying so here keeps every plan built on the rows
+    the same, and equal shuffles are made once. Where `docs` is partitioned by
+    a document id, counting per document needs no further shuffle.
     """
-    return spread(docs.select(*keep, text), *([doc] if doc else [])).select(
-        *keep, F.explode(tokenizer(F.col(text))).alias(name))
+    rows = docs.select(*keep, F.explode(tokenizer(F.col(text))).alias(name))
+    return rows.where(F.col(name).isNotNull())
 
 
 def lex_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,20 +59,18 @@ def tagged_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tag_documents(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str = "text",
-                  tokenizer: T.Tokenizer = T.tag_unknown) -> DataFrame:
+                  tokenizer: T.Tokenizer = T.lexemes, tag: T.Tokenizer = T.open_tag) -> DataFrame:
     """Documents as tagged tokens, (doc, tokens).
 
     `lexicon` holds (lex, pos, n) with n the count of the lexeme in `docs`; its
-    frequent entries are the hot keys of the join. Tokens it does not hold keep
-    the tag of `tokenizer`. Its size is not known, so it is not broadcast.
+    frequent entries are the hot keys of the join. Tokens it does not hold get
+    their tag from `tag`. Its size is not known, so it is not broadcast.
     """
-    rows = spread(docs.select(doc, text), doc).select(
-        doc, F.posexplode(tokenizer(F.col(text))).alias("seq", "t"))
-    rows = rows.select(doc, "seq", F.col("t.lex").alias("lex"), F.col("t.pos").alias("given"))
+    rows = docs.select(doc, F.posexplode(tokenizer(F.col(text))).alias("seq", "lex"))
     hot = hot_keys(lexicon, "lex", "n")
     tagged = salted_join(rows, lexicon.select("lex", "pos"), "lex", hot, "seq", "left")
-    at = F.struct("seq", "lex", F.coalesce("pos", "given").alias("pos"))
-    ordered = F.array_sort(F.collect_list(at))
+    at = F.struct("seq", "lex", F.coalesce(F.col("pos"), tag(F.col("lex"))).alias("pos"))
+    ordered = F.sort_array(F.collect_list(at))
     return tagged.groupBy(doc).agg(
         F.transform(ordered, lambda t: T.token(t.lex, t.pos)).alias("tokens"))
 
@@ -143,7 +140,7 @@ def docs_in_vocab(docs: DataFrame, lookup: DataFrame, doc: str = "doc_id", text:
     comes from `term_lookup`; it holds one row per raw form, so its size is not
     proven and it is joined with its frequent forms split.
     """
-    per_doc = (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="lex", doc=doc)
+    per_doc = (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="lex")
                .groupBy(doc, "lex").agg(F.count("*").alias("k")))
     hot = hot_keys(lookup, "lex", "n")
     found = salted_join(per_doc, lookup.select("lex", "idx", "term"), "lex", hot, doc)
@@ -163,14 +160,14 @@ def filter_by_vocab(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id",
     """
     rows = docs.select(doc, F.posexplode(tokens).alias("seq", "term"))
     kept = rows.join(bounded(vocab.select("term"), max_words), "term", "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "term")))
     return kept.groupBy(doc).agg(F.transform(ordered, lambda t: t.term).alias("terms"))
 
 
 def bag_of_words(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                  tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """(doc, term, n) of every document."""
-    return (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="term", doc=doc)
+    return (token_rows(docs, doc, text=text, tokenizer=tokenizer, name="term")
             .groupBy(doc, "term").agg(F.count("*").alias("n")))
 
 

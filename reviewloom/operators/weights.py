@@ -81,7 +81,7 @@ def tfidf(tf: DataFrame, n_docs: Column, doc: str, idf: str = "smooth", sublinea
     stands for many rows (an app), norms are summed apart and joined back with
     large documents split.
     """
-    tf = limit_vocabulary(tf, max_features)
+    tf = limit_vocabulary(tf.where(F.col(doc).isNotNull()), max_features)
     table = idf_table(tf, n_docs, idf)
     raw = raw_weights(tf, table, doc, sublinear, max_features)
     if drop_zero:
@@ -109,6 +109,7 @@ def keywords(tf: DataFrame, n_docs: Column, doc: str, n: int = 10) -> DataFrame:
     are cut to n per document first and only those meet the norms. Equal
     weights (to six places) go to the smaller term; terms have positive weight.
     """
+    tf = tf.where(F.col(doc).isNotNull())
     table = idf_table(tf, n_docs)
     raw = raw_weights(tf, table, doc)
     norms = raw.groupBy(doc).agg(norm_of("l2").alias("norm"))

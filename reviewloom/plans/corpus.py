@@ -9,9 +9,9 @@ from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators import rules as R
 from reviewloom.operators import tables, vocab
-from reviewloom.plans.registry import FTOK, SPACE, TAG, TOK, TOKEN, VOC, query, table
+from reviewloom.plans.registry import FTOK, SPACE, TAG, TOK, TOKEN, VOC, documents, query, table
 from reviewloom.plans.reviews import labelled
-from reviewloom.runtime import scratch_path, spread
+from reviewloom.runtime import scratch_path
 
 POS = ["NNG", "VV", "SN"]
 MIN_LENGTH = 2
@@ -25,7 +25,7 @@ KEYS = ["tion", "ment", "ou"]
 
 
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return documents(spark, sf, "text")
 
 
 def dictionary_of(counts: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def dictionary_of(counts: DataFrame) -> DataFrame:
 
 @query("tokens", f"WITH {TOK} SELECT doc_id, len(l) AS n FROM tokl")
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(docs_of(spark, sf), "doc_id")
+    docs = docs_of(spark, sf)
     n = F.size(T.words("text")).cast("bigint")
     return docs.select("doc_id", n.alias("n"))
 
@@ -53,7 +53,7 @@ WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(
     '([^{_SPACING}])([{_SPACING}])', '\\1 \\2', 'g') AS t FROM documents)
 SELECT doc_id, length(t) AS length, md5(t) AS digest FROM s""")
 def spacing(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(docs_of(spark, sf), "doc_id")
+    docs = docs_of(spark, sf)
     spaced = docs.select("doc_id", T.spacing("text", T.SPACING_MARKS).alias("t"))
     return spaced.select("doc_id", F.length("t").cast("bigint").alias("length"),
                          F.md5("t").alias("digest"))
@@ -68,7 +68,7 @@ WITH s AS (SELECT doc_id, CASE WHEN regexp_matches(text, '{_SIGN}')
     ELSE text END AS t FROM documents)
 SELECT doc_id, length(t) AS length, md5(t) AS digest FROM s""")
 def strip_signs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(docs_of(spark, sf), "doc_id")
+    docs = docs_of(spark, sf)
     bare = docs.select("doc_id", T.strip_signs("text").alias("t"))
     return bare.select("doc_id", F.length("t").cast("bigint").alias("length"),
                        F.md5("t").alias("digest"))
@@ -85,7 +85,7 @@ WITH {TAG} SELECT doc_id,
   count(*) FILTER (pos NOT IN ('SF', 'SE', 'SS', 'SP', 'SO', 'SW')) AS n
 FROM documents LEFT JOIN lexs USING (doc_id) LEFT JOIN tagn USING (lex) GROUP BY doc_id""")
 def deny_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(docs_of(spark, sf), "doc_id").select("doc_id", T.tag_unknown("text").alias("t"))
+    docs = docs_of(spark, sf).select("doc_id", T.tag_unknown("text").alias("t"))
     kept = F.size(K.deny_tokens("t")).cast("bigint")
     return docs.select("doc_id", kept.alias("n"))
 
@@ -105,7 +105,7 @@ def lemma_tokens(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ')) AS digest
 FROM documents""")
 def lex_only(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(docs_of(spark, sf), "doc_id")
+    docs = docs_of(spark, sf)
     line = F.array_join(K.lex_only(T.tag_unknown("text")), " ")
     return docs.select("doc_id", F.md5(line).alias("digest"))
 
@@ -198,7 +198,7 @@ def bigrams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frequent_pairs(docs: DataFrame, n: int) -> DataFrame:
-    split = spread(docs, "doc_id").select(T.words("text").alias("w"))
+    split = docs.select(T.words("text").alias("w"))
     rows = split.select(F.explode(T.ngrams(F.col("w"), 2)).alias("bigram"))
     return (tables.group_counts(rows, "bigram")
             .orderBy(F.col("n").desc(), F.col("bigram")).limit(n))
@@ -221,7 +221,7 @@ _HITS = f"""WITH l AS (SELECT doc_id, lang,
 
 
 def hits_of(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = documents(spark, sf, "lang", "text")
     docs = docs.select("doc_id", "lang", T.words("text").alias("w"))
     return docs.select("doc_id", *keep, K.exact_hits("w", QUERY).alias("by_count"),
                        K.contains_all("w", QUERY).alias("by_word"))
@@ -245,8 +245,7 @@ WITH {TAG} SELECT lex, n, docs FROM tagn
 JOIN (SELECT lex, count(DISTINCT doc_id) AS docs FROM lexs GROUP BY lex) USING (lex)
 WHERE pos = 'NA'""")
 def unknown_words(spark: SparkSession, sf: str) -> DataFrame:
-    postings = (vocab.token_rows(docs_of(spark, sf), "doc_id", tokenizer=T.lexemes, name="lex",
-                                 doc="doc_id")
+    postings = (vocab.token_rows(docs_of(spark, sf), "doc_id", tokenizer=T.lexemes, name="lex")
                 .groupBy("lex", "doc_id").agg(F.count("*").alias("n")))
     words = vocab.unknown_words(postings)
     return words.where(vocab.corpus_tag(F.col("lex"), F.col("n")) == "NA")

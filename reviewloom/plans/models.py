@@ -12,7 +12,7 @@ from reviewloom.functions import tokens as K
 from reviewloom.operators import bayes, classify, clusters, features, topics, vectors, vocab, weights
 from reviewloom.operators.ordering import fold_of, in_test
 from reviewloom.plans.corpus import QUERY
-from reviewloom.plans.registry import query, table
+from reviewloom.plans.registry import documents, query, table
 from reviewloom.plans.reviews import labelled
 from reviewloom.plans.weighting import rated_tf
 from reviewloom.runtime import scratch_path, spread
@@ -25,12 +25,12 @@ EPOCHS = 1
 
 def words_of(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as word arrays, kept in memory or on disk for the iterations."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = documents(spark, sf, "lang", "text")
     return docs.select("doc_id", "lang", T.words("text").alias("tokens")).persist()
 
 
 def rated_words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(labelled(spark, sf).select("doc_id", "y", "text", in_test().alias("te")))
+    docs = labelled(spark, sf).select("doc_id", "y", "text", in_test().alias("te"))
     return docs.select("doc_id", F.col("y").alias("label"), "te",
                        T.words("text").alias("tokens")).persist()
 
@@ -47,10 +47,10 @@ def _round(c: str, n: int = 6) -> Column:
 
 def app_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """TF-IDF vectors of the apps with their category, and the vocabulary."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    docs = documents(spark, sf, "source", "lang", "text")
     tf = (vocab.token_rows(docs, "source", name="term").groupBy("source", "term")
           .agg(F.count("*").alias("n")))
-    n_docs = docs.agg(F.count_distinct("source")).scalar()
+    n_docs = table(spark, sf, "documents").agg(F.count_distinct("source")).scalar()
     weighed = weights.tfidf(tf, n_docs, "source", max_features=FEATURES, grouped=True)
     totals = tf.groupBy("term").agg(F.sum("n").alias("cnt"))
     words = vocab.indexed(totals, FEATURES)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewloom.runtime import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Documents with the wanted columns, spread over the cores if the file is small."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *cols), "doc_id")
+
+
 # Shared SQL. SPACE and TOKEN spell the token classes for the checking engine.
 SPACE = (r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")

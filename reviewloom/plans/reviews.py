@@ -9,14 +9,13 @@ from reviewloom.functions import fields
 from reviewloom.functions import text as T
 from reviewloom.operators import ordering, tables
 from reviewloom.operators.vectors import tagged
-from reviewloom.plans.registry import SPACE, query, table
-from reviewloom.runtime import spread
+from reviewloom.plans.registry import SPACE, documents, query, table
 from reviewloom.sources.pages import page_link_rows
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a quality label, as rating."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf, "text")
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
     return docs.join(labels, "doc_id")
 
@@ -137,8 +136,7 @@ WITH d AS (SELECT doc_id, source, lang, doc_id // 256 AS part,
 SELECT source, part, docs, lang, coalesce(tokens, 0) AS tokens, coalesce(digest, md5('')) AS digest
 FROM g LEFT JOIN w USING (source, part)""")
 def per_app_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"),
-                  "doc_id")
+    docs = documents(spark, sf, "source", "lang", "text")
     docs = docs.select("doc_id", "source", "lang", T.words("text").alias("tokens"))
     parts = tables.per_app_docs(docs, "source", "doc_id", "tokens", "lang")
     return parts.select("source", "part", "docs", "lang",

@@ -11,8 +11,8 @@ from reviewloom.functions import fields
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators import ordering, tables, vocab
-from reviewloom.plans.registry import SPACE, TOKEN, query, table
-from reviewloom.runtime import scratch_path, spread
+from reviewloom.plans.registry import SPACE, TOKEN, documents, query, table
+from reviewloom.runtime import scratch_path
 from reviewloom.sources import feeds, files, pages
 
 # Reviews on one landed feed page at most (ids of a span of 1000 per app).
@@ -21,7 +21,7 @@ PAGE_SPAN = 1000
 
 def review_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in the shape of stored reviews, all strings."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = documents(spark, sf, "source", "lang", "text", "n_chars")
     return docs.select(
         fields.after_prefix("source", 3).alias("app_id"), F.col("text").alias("review"),
         F.col("doc_id").cast("string").alias("rating"), F.col("lang").alias("category"),
@@ -64,10 +64,10 @@ WHERE r <= 3 GROUP BY doc_id"""
 
 def top_words(spark: SparkSession, sf: str) -> DataFrame:
     """The three most frequent words of every document, (key, words)."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "text")
     rows = ordering.top_n(vocab.bag_of_words(docs), "doc_id",
                          [F.col("n").desc(), F.col("term")], 3)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "term")))
     return rows.groupBy(F.col("doc_id").cast("string").alias("key")).agg(
         F.transform(ordered, lambda x: x.term).alias("words"))
 
@@ -96,7 +96,7 @@ def src_json_doc(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in the ten columns of a scraped file."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = documents(spark, sf, "source", "lang", "text", "n_chars")
     missing = F.lit(None).cast("string")
     return docs.select(
         fields.after_prefix("source", 3).alias("app_id"), F.col("source").alias("app_name"),
@@ -160,7 +160,7 @@ def line_count(spark: SparkSession, sf: str) -> DataFrame:
 SELECT md5(array_to_string(regexp_extract_all(text, '{TOKEN}'), ' ')) AS digest FROM documents""")
 def sink_text(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "lex")
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = documents(spark, sf, "text")
     files.write_lines(docs, path, files.token_line(K.lex_only(T.tag_unknown("text"))))
     return spark.read.text(path).select(F.md5("value").alias("digest"))
 
@@ -192,7 +192,7 @@ def _label(c: Column) -> Column:
 
 def feed_pages(spark: SparkSession, sf: str) -> DataFrame:
     """JSON feed pages of every app made from documents, (app_id, feed)."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = documents(spark, sf, "source", "lang", "text", "n_chars")
     review = F.struct(
         _label(F.col("doc_id")).alias("id"), _label(F.col("lang")).alias("title"),
         F.struct(_label(F.concat(F.lit("user"), F.col("doc_id").cast("string"))).alias("name"))
@@ -256,13 +256,13 @@ def _xml_time(c: Column) -> Column:
 
 def xml_feeds(spark: SparkSession, sf: str, first: bool) -> DataFrame:
     """XML feeds of every app made from documents, with the app as entry 0 if `first`."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = documents(spark, sf, "source", "lang", "text", "n_chars")
     link = F.concat(F.lit("https://x/kr/app/id"), F.col("doc_id").cast("string"), F.lit("?mt=8"))
     entry = _tag("entry", F.concat(
         _tag("id", link), _tag("title", F.col("lang")), _tag("content", _xml_text(F.col("text"))),
         _tag("author", _tag("name", F.concat(F.lit("user"), F.col("doc_id").cast("string")))),
         _tag("rating", F.col("n_chars").cast("string")), _tag("updated", _xml_time(F.col("doc_id")))))
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e"))))
+    ordered = F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e"))))
     grouped = docs.groupBy("source", tables.part_of("doc_id", PAGE_SPAN).alias("page")).agg(
         F.array_join(F.transform(ordered, lambda x: x.e), "").alias("entries"))
     app = _tag("entry", F.concat(_tag("id", F.concat(F.lit("https://x/"), F.col("source"))),
@@ -357,7 +357,7 @@ SELECT source AS title, 'maker ' || lang AS developer, '$' || doc_id % 10 AS pri
   'https://x/id' || doc_id AS url, doc_id % 5 <> 0 AS complete FROM documents""")
 def app_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Store pages made from documents; every fifth lacks its rating."""
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = documents(spark, sf, "source", "lang", "text", "n_chars")
     doc, size = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
     k = F.col("doc_id") % 5
     stars = F.concat(k.cast("string"), F.lit(" stars, "), size, F.lit(" Ratings"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators import bayes, cooc, vectors, vocab, weights
 from reviewloom.operators.ordering import in_test
 from reviewloom.plans.corpus import docs_of
-from reviewloom.plans.registry import TOK, query, table
+from reviewloom.plans.registry import TOK, documents, query, table
 from reviewloom.plans.reviews import labelled
 
 TERMS = 500
@@ -34,8 +34,8 @@ WITH {TOK},
 SELECT source, term, round(raw / norm, 6) AS weight, rank FROM r JOIN nrm USING (source)
 WHERE rank <= 10""")
 def tfidf_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("source", "text")
-    n_docs = docs.agg(F.count_distinct("source")).scalar()
+    docs = documents(spark, sf, "source", "text")
+    n_docs = table(spark, sf, "documents").agg(F.count_distinct("source")).scalar()
     tf = (vocab.token_rows(docs, "source", name="term").groupBy("source", "term")
           .agg(F.count("*").alias("n")))
     best = weights.keywords(tf, n_docs, "source", 10)
@@ -44,8 +44,7 @@ def tfidf_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_tf(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
-    docs = docs_of(spark, sf)
-    return vocab.bag_of_words(docs), _count(docs)
+    return vocab.bag_of_words(docs_of(spark, sf)), _count(table(spark, sf, "documents"))
 
 
 _DOC_TF = f"""WITH {TOK},
@@ -186,7 +185,7 @@ def mst_edges(spark: SparkSession, sf: str) -> DataFrame:
 def rated_tf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labelled documents with their test flag, and their term frequencies."""
     docs = labelled(spark, sf).select("doc_id", "y", "text", in_test().alias("te"))
-    tf = (vocab.token_rows(docs, "doc_id", "y", "te", name="term", doc="doc_id")
+    tf = (vocab.token_rows(docs, "doc_id", "y", "te", name="term")
           .groupBy("doc_id", "y", "te", "term").agg(F.count("*").alias("n")))
     return docs.select("doc_id", "y", "te"), tf
 

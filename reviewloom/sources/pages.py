@@ -1,7 +1,5 @@
 """Store pages: the fields of an app page and the links of a list page."""
 
-from __future__ import annotations
-
 from html.parser import HTMLParser
 
 import pandas as pd
