@@ -18,6 +18,12 @@ def has_text(text: Column | str) -> Column:
     return text.isNotNull() & ~text.isin(MISSING)
 
 
+def binary_label(rating: Column | str, bad: int = 1, good: int = 5) -> Column:
+    """0 for the worst rating, 1 for the best, NULL for those between."""
+    number = _col(rating).try_cast("int")
+    return F.when(number == bad, F.lit(0)).when(number == good, F.lit(1))
+
+
 def clean_field(text: Column | str) -> Column:
     """Drop tabs and quotes, turn newlines into blanks, empty into NULL."""
     return F.nullif(F.translate(_col(text), "\n\t\"", " "), F.lit(""))

@@ -75,6 +75,16 @@ def number_head(df: DataFrame, order: list[Column], n: int, name: str = "rank")
     return head.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """n random rows; every task keeps n of its own."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
+def balanced(df: DataFrame, label: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of every label."""
+    return top_n(df, label, order, n, "_rank").drop("_rank")
+
+
 def runs(df: DataFrame, group: str, seq: str, value: str) -> DataFrame:
     """Runs of equal `value` inside a group: first `seq`, value and length.
 

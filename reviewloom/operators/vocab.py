@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators.ordering import global_index, number_head
-from reviewloom.runtime import bounded, hot_keys, salted_join
+from reviewloom.runtime import bounded, hot_keys, salted_join, vocabulary_join
 
 # Fixed value: size of a dictionary unless another is asked for.
 MAX_WORDS = 100_000
@@ -156,10 +156,12 @@ def filter_by_vocab(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id",
                     tokens: str = "tokens", max_words: int | None = MAX_WORDS) -> DataFrame:
     """Documents cut to their dictionary terms in token order, (doc, terms).
 
-    `tokens` are `lex/pos` strings, normalised as for the dictionary.
+    `tokens` are `lex/pos` strings, normalised as for the dictionary, which
+    holds (term, cnt).
     """
     rows = docs.select(doc, F.posexplode(tokens).alias("seq", "term"))
-    kept = rows.join(bounded(vocab.select("term"), max_words), "term", "left_semi")
+    kept = vocabulary_join(rows, vocab.select("term", "cnt"), "term", "cnt", "seq", max_words,
+                           "left_semi")
     ordered = F.sort_array(F.collect_list(F.struct("seq", "term")))
     return kept.groupBy(doc).agg(F.transform(ordered, lambda t: t.term).alias("terms"))
 

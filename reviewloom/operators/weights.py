@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.ordering import number_head, top_n
 from reviewloom.operators.vocab import top_by_frequency
-from reviewloom.runtime import bounded, hot_keys, salted_join
+from reviewloom.runtime import bounded, hot_keys, salted_join, vocabulary_join
 
 
 def idf_of(df: Column, n_docs: Column, kind: str) -> Column:
@@ -31,8 +31,8 @@ def limit_vocabulary(tf: DataFrame, max_features: int | None) -> DataFrame:
     if max_features is None:
         return tf
     totals = tf.groupBy("term").agg(F.sum("n").alias("total"))
-    kept = top_by_frequency(totals, "total", max_features).select("term")
-    return tf.join(bounded(kept, max_features), "term", "left_semi")
+    kept = top_by_frequency(totals, "total", max_features)
+    return vocabulary_join(tf, kept, "term", "total", "n", max_features, "left_semi")
 
 
 def idf_table(tf: DataFrame, n_docs: Column, kind: str = "smooth") -> DataFrame:
@@ -52,11 +52,7 @@ def raw_weights(tf: DataFrame, idf: DataFrame, doc: str, sublinear: bool = False
     With a bounded vocabulary the idf table is broadcast; without, frequent
     terms are split by document.
     """
-    if max_features is not None:
-        found = tf.join(bounded(idf.select("term", "idf"), max_features), "term")
-    else:
-        hot = hot_keys(idf, "term", "df")
-        found = salted_join(tf, idf.select("term", "idf"), "term", hot, doc)
+    found = vocabulary_join(tf, idf.select("term", "idf", "df"), "term", "df", doc, max_features)
     count = F.col("n").cast("double")
     count = F.log(count) + 1 if sublinear else count
     return found.withColumn("raw", count * F.col("idf")).drop("idf")
@@ -136,8 +132,8 @@ def contrast(good: DataFrame, bad: DataFrame, n: int) -> DataFrame:
     """
     a = top_by_frequency(good, "cnt", n).select("term", "cnt")
     b = top_by_frequency(bad, "cnt", n).select("term", "cnt")
-    return side_by_side(a.join(F.broadcast(b.select("term")), "term", "left_anti"),
-                        b.join(F.broadcast(a.select("term")), "term", "left_anti"), n)
+    return side_by_side(a.join(bounded(b.select("term"), n), "term", "left_anti"),
+                        b.join(bounded(a.select("term"), n), "term", "left_anti"), n)
 
 
 def overlap(good: DataFrame, bad: DataFrame, sizes: list[int]) -> DataFrame:

@@ -61,8 +61,8 @@ def app_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def app_clusters(spark: SparkSession, sf: str) -> tuple[KMeansModel, DataFrame, DataFrame]:
     rows, words = app_vectors(spark, sf)
-    k = rows.select("category").distinct().count()
-    model = clusters.fit_kmeans(rows, max(k, 2), tries=3, max_iter=50)
+    k = table(spark, sf, "documents").select("lang").distinct().count()
+    model = clusters.fit_kmeans(rows, k, tries=2, max_iter=20)
     return model, model.transform(rows), words
 
 

@@ -91,8 +91,8 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, quality AS y FROM documents JOIN labels USING (doc_id)
 QUALIFY row_number() OVER (PARTITION BY quality ORDER BY doc_id) <= 40""")
 def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.top_n(labelled(spark, sf).select("doc_id", "y").where(F.col("y").isin(0, 1)),
-                          "y", [F.col("doc_id")], 40).select("doc_id", "y")
+    docs = labelled(spark, sf).select("doc_id", fields.binary_label("y", 0, 1).alias("y"))
+    return ordering.balanced(docs.where("y IS NOT NULL"), "y", [F.col("doc_id")], 40)
 
 
 @query("rank_lookup", """
@@ -258,4 +258,4 @@ def json_get(spark: SparkSession, sf: str) -> DataFrame:
 @query("sample_one")
 def sample_one(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source")
-    return docs.orderBy(F.rand(7)).limit(1)
+    return ordering.sample_rows(docs, 1, 7)

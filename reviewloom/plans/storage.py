@@ -15,8 +15,8 @@ from reviewloom.plans.registry import SPACE, TOKEN, documents, query, table
 from reviewloom.runtime import scratch_path
 from reviewloom.sources import feeds, files, pages
 
-# Reviews on one landed feed page at most (ids of a span of 1000 per app).
-PAGE_SPAN = 1000
+# Reviews on one landed feed page at most (ids of a span of 256 per app).
+PAGE_SPAN = 256
 
 
 def review_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,10 +82,10 @@ def sink_keyword_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src_json_doc", _TOP)
 def src_json_doc(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON document per part: entries are merged by hash of their key."""
+    """One JSON document per 4096 neighbouring keys."""
     path = scratch_path(spark, "documents")
     rows = top_words(spark, sf).withColumn(
-        "part", F.pmod(F.xxhash64("key"), F.lit(64)) + F.floor(F.col("key").cast("long") / 4096) * 64)
+        "part", F.floor(F.col("key").cast("long") / 4096))
     entry = F.map_from_entries(F.collect_list(F.struct("key", "words")))
     whole = rows.groupBy("part").agg(F.to_json(entry).alias("value"))
     # One file per part, as the reader takes a file for one document.
@@ -216,7 +216,7 @@ SELECT substring(source, 4) AS app_id, source AS app_name, CAST(doc_id AS VARCHA
   lang AS title, 'user' || doc_id AS author, CAST(NULL AS VARCHAR) AS author_url,
   '1.0' AS version, CAST(n_chars AS VARCHAR) AS rating, md5(nullif({_CLEAN}, '')) AS digest, %s
 FROM documents"""
-_PAGE_CATEGORY = "min_by(lang, doc_id) OVER (PARTITION BY source, doc_id // 1000) AS category"
+_PAGE_CATEGORY = "min_by(lang, doc_id) OVER (PARTITION BY source, doc_id // 256) AS category"
 
 
 def landed_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,8 +291,8 @@ def feed_xml_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rank_feed", """
-SELECT source || ' ' || doc_id // 1000 AS feed_title,
-  row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS rank,
+SELECT source || ' ' || doc_id // 256 AS feed_title,
+  row_number() OVER (PARTITION BY source, doc_id // 256 ORDER BY doc_id) AS rank,
   CAST(doc_id AS VARCHAR) AS id, lang AS title,
   'https://x/kr/app/id' || doc_id || '?mt=8' AS link, doc_id + 1700000000 AS timestamp
 FROM documents""")

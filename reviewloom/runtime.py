@@ -63,6 +63,18 @@ def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
+def vocabulary_join(left: DataFrame, vocab: DataFrame, key: str, count: str, spread_by: str,
+                    max_rows: int | None, how: str = "inner") -> DataFrame:
+    """Join rows to a vocabulary with a row count per key.
+
+    A vocabulary of proven small size is broadcast; of another the frequent
+    keys are split.
+    """
+    if max_rows is not None and max_rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(vocab.drop(count)), key, how)
+    return salted_join(left, vocab.drop(count), key, hot_keys(vocab, key, count), spread_by, how)
+
+
 def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     """Keys above 1/HOT_SHARE of all rows; fewer than HOT_SHARE rows."""
     total = counts.agg(F.sum(n).alias("_total")).scalar()

@@ -123,6 +123,11 @@ def test_fields(spark):
     assert one(spark, fields.has_text("t"), t="None") is False
 
 
+def test_binary_label(spark):
+    got = [one(spark, fields.binary_label("r"), r=r) for r in ["1", "3", "5", "x"]]
+    assert got == [0, None, 1, None]
+
+
 def test_feed_urls(spark):
     url = fields.rank_feed_url(F.lit("kr"), F.lit("topfreeapplications"), F.lit("6008"), 100)
     assert one(spark, url) == (

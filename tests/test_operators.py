@@ -230,8 +230,9 @@ def test_dictionary_shapes(spark):
 def test_filter_by_vocab_keeps_order_and_drops_empty(spark):
     docs = spark.createDataFrame([(0, ["b", "a", "q", "b"]), (1, ["q"])],
                                  "doc_id long, tokens array<string>")
-    voc = spark.createDataFrame([("a", 0), ("b", 1)], "term string, idx long")
+    voc = spark.createDataFrame([("a", 1), ("b", 2)], "term string, cnt long")
     kept = vocab.filter_by_vocab(docs, voc)
+    assert vocab.filter_by_vocab(docs, voc, max_words=None).collect() == kept.collect()
     assert [tuple(r) for r in kept.collect()] == [(0, ["b", "a", "b"])]
     assert [r["doc_id"] for r in vocab.docs_emptied(docs, kept).collect()] == [1]
 
