@@ -22,11 +22,12 @@ BATCH = 1024
 ROWS = 128
 
 
-def top_vocabulary(docs: DataFrame, max_features: int = 500, text: str = "text", tokenizer: T.Tokenizer = T.words) -> DataFrame:
-    """The terms found in most documents, (term, df, idx) with idx in term order of rank."""
+def top_vocabulary(docs: DataFrame, max_features: int = 500, text: str = "text",
+                   tokenizer: T.Tokenizer = T.words) -> DataFrame:
+    """The terms found in most documents, (term, df, idx), idx by falling df from 0."""
     df = document_frequency(docs, text, tokenizer)
-    head = number_head(df, [F.col("df").desc(), F.col("term")], max_features, "idx")
-    return head.withColumn("idx", F.col("idx") - 1)
+    first = number_head(df, [F.col("df").desc(), F.col("term")], max_features, "idx")
+    return first.withColumn("idx", F.col("idx") - 1)
 
 
 def presence(docs: DataFrame, vocab: DataFrame, max_features: int, doc: str = "doc_id",

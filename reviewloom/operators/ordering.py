@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.runtime import durable
+from reviewloom.runtime import BROADCAST_ROWS, durable
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
@@ -69,10 +69,24 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int, name: str = "r
     return df.withColumn(name, at).where(F.col(name) <= n)
 
 
+def head(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """First n rows of the table in the given order, which must leave no ties.
+
+    A short head is picked by Spark's top-n; a long one, which would meet in
+    one task, by row number.
+    """
+    if n <= BROADCAST_ROWS:
+        return df.orderBy(*order).limit(n)
+    return global_index(df, order, "_i").where(F.col("_i") < n).drop("_i")
+
+
 def number_head(df: DataFrame, order: list[Column], n: int, name: str = "rank") -> DataFrame:
-    """First n rows of the table, numbered from 1; only those n meet in a task."""
-    head = df.orderBy(*order).limit(n)
-    return head.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """First n rows of the table, numbered from 1."""
+    if n > BROADCAST_ROWS:
+        rows = global_index(df, order, name).where(F.col(name) < n)
+        return rows.withColumn(name, F.col(name) + 1)
+    rank = F.row_number().over(Window.orderBy(*order))
+    return head(df, order, n).withColumn(name, rank)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
-from reviewloom.operators import bayes, classify, clusters, features, topics, vectors, vocab, weights
+from reviewloom.operators import (
+    bayes,
+    classify,
+    clusters,
+    features,
+    topics,
+    vectors,
+    vocab,
+    weights,
+)
 from reviewloom.operators.ordering import fold_of, in_test
 from reviewloom.plans.corpus import QUERY
 from reviewloom.plans.registry import documents, query, table

@@ -261,7 +261,8 @@ def xml_feeds(spark: SparkSession, sf: str, first: bool) -> DataFrame:
     entry = _tag("entry", F.concat(
         _tag("id", link), _tag("title", F.col("lang")), _tag("content", _xml_text(F.col("text"))),
         _tag("author", _tag("name", F.concat(F.lit("user"), F.col("doc_id").cast("string")))),
-        _tag("rating", F.col("n_chars").cast("string")), _tag("updated", _xml_time(F.col("doc_id")))))
+        _tag("rating", F.col("n_chars").cast("string")),
+        _tag("updated", _xml_time(F.col("doc_id")))))
     ordered = F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e"))))
     grouped = docs.groupBy("source", tables.part_of("doc_id", PAGE_SPAN).alias("page")).agg(
         F.array_join(F.transform(ordered, lambda x: x.e), "").alias("entries"))
@@ -302,14 +303,15 @@ def rank_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("feed_urls", """
-WITH c AS (SELECT DISTINCT n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey),
+WITH c AS (SELECT DISTINCT n_name AS country FROM customer
+    JOIN nation ON c_nationkey = n_nationkey),
   l AS (SELECT unnest(['topfreeapplications', 'toppaidapplications', 'topgrossingapplications',
     'topfreeipadapplications', 'toppaidipadapplications', 'topgrossingipadapplications',
     'topmacapps']) AS list),
   g AS (SELECT unnest([NULL, '6018', '6000', '6022', '6017', '6016', '6015', '6023', '6014',
     '6013', '6012', '6020', '6011', '6010', '6009', '6021', '6008', '6007', '6006', '6005',
     '6004', '6003', '6002', '6001']) AS genre)
-SELECT country, CASE country WHEN 'China' THEN 'cn' WHEN 'CHINA' THEN 'cn'
+SELECT country, CASE country WHEN 'CHINA' THEN 'cn'
     WHEN 'UNITED STATES' THEN 'us' END AS code,
   country IN ('CHINA', 'UNITED STATES') AS code_known,
   CASE WHEN country IN ('CHINA', 'UNITED STATES') THEN

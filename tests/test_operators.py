@@ -158,6 +158,15 @@ def test_chunks_cover_all_rows(spark, n, k):
     assert order == sorted(order) and order[0] == 1
 
 
+def test_long_head_equals_short_head(spark, monkeypatch):
+    rows, df = hot_table(spark, 400)
+    short = ordering.number_head(df, [F.col("i").desc()], 37).orderBy("rank").collect()
+    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 5)
+    long = ordering.number_head(df, [F.col("i").desc()], 37).orderBy("rank").collect()
+    assert [tuple(r) for r in long] == [tuple(r) for r in short] and len(long) == 37
+    assert {r["i"] for r in ordering.head(df, [F.col("i")], 9).collect()} == set(range(9))
+
+
 def test_salted_join_keeps_every_row(spark):
     rows, df = hot_table(spark)
     right = df.groupBy("g").agg(F.count("*").alias("n"))
