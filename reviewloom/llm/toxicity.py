@@ -1,15 +1,15 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with context-window scores.
 
 The lexicon is a trie of abusive words and word stems. It is learned from
-labelled documents: a word or stem that stands in many toxic and hardly any
+labelled documents: a word or stem that stands far more often in toxic than in
 clean texts, chosen so that each entry explains toxic texts no earlier entry
 explains. Every token of every text is run through the product of the trie and
 the Levenshtein automata of its entries, built lazily as one automaton, so a
 misspelled term costs one dictionary step per character. Each hit is judged in
 a window of tokens: between quotation marks, on a quoted line, or after a word
 that reports speech it is quotation, else abuse. A logistic regression over the
-counts of hits (whole or misspelled, abuse or quotation, densest window) gives
-the score.
+counts of hits (sure, misspelled or unsure terms, quotation, densest window)
+gives the score.
 
 Fitting uses at most FIT_ROWS labelled documents with distinct texts, those of
 smallest hash; scoring covers all documents and whole texts.
@@ -21,6 +21,7 @@ without hits; with no labelled rows the lexicon is empty and every score is
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 
@@ -35,6 +36,9 @@ from reviewloom.runtime import durable
 FIT_ROWS = 20_000
 MIN_SUPPORT = 6
 MAX_ENTRIES = 2_000
+# How many times more often than among clean texts a sure or unsure term stands in toxic ones.
+SURE_RATIO, UNSURE_RATIO, CHANCE_WEIGHT = 40, 8, 4
+HIDDEN_SHARE = 0.02
 STEM_LENGTHS = range(3, 8)
 WINDOW = 12
 CLIP = 5
@@ -50,21 +54,20 @@ QUOTES = "\"“”„«»‘’"
 
 
 def edits_allowed(length: int, stem: bool) -> int:
-    """Misspellings a term may have; short terms and stems have to be exact."""
-    if stem:
-        return 1 if length >= 8 else 0
-    return 0 if length < 5 else 1 if length < 9 else 2
+    """Misspellings a term may have after its first letter; short terms and stems have to be exact."""
+    return 0 if stem or length < 5 else 1 if length < 9 else 2
 
 
 class Lexicon:
     """Trie of terms, run against tokens within the edits each term allows.
 
     Entries that end in `*` are stems: a token matches if it starts with one.
+    The first letter of a term has to be right.
     """
 
     MEMORY = 500_000
 
-    def __init__(self, entries: list[str]):
+    def __init__(self, entries: list[str], fuzzy: bool = True):
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[dict[bool, int]] = [{}]
         self.most: list[int] = [0]
@@ -72,9 +75,8 @@ class Lexicon:
             stem, word = entry.endswith("*"), entry.rstrip("*")
             if not word:
                 continue
-            allowed = edits_allowed(len(word), stem)
+            allowed = edits_allowed(len(word), stem) if fuzzy else 0
             node = 0
-            self.most[0] = max(self.most[0], allowed)
             for ch in word:
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
@@ -100,7 +102,8 @@ class Lexicon:
             if e > self.most[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
-            todo += [(child, e + 1) for child in self.children[node].values()]
+            if node:
+                todo += [(child, e + 1) for child in self.children[node].values()]
         for node, e in best.items():
             if e <= self.ends[node].get(True, -1):
                 stem = e if stem is None else min(stem, e)
@@ -120,8 +123,9 @@ class Lexicon:
             child = self.children[node].get(ch)
             if child is not None:
                 after.add((child, e))
-            after.add((node, e + 1))
-            after.update((c, e + 1) for c in self.children[node].values())
+            if node:
+                after.add((node, e + 1))
+                after.update((c, e + 1) for c in self.children[node].values())
         return self._state(after, stem)
 
     def edits(self, token: str) -> int | None:
@@ -156,23 +160,30 @@ def quoted(text: str, start: int, tokens: list[str], i: int) -> bool:
     return any(t in REPORTING for t in tokens[max(0, i - 3):i])
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[int]:
-    """Exact and misspelled hits in abuse, the same in quotation, hits in the densest window."""
+def features(text: str | None, lexicons: tuple[Lexicon, Lexicon]) -> list[int]:
+    """Hits of sure terms, misspelled ones, hits of unsure terms, quotation, and hits in the densest window."""
     if not text:
         return [0] * 5
     text = text.lower()
     tokens = TOKEN.findall(text)
-    hit = {t: e for t in set(tokens) if (e := lexicon.edits(t)) is not None}
+    hit = {}
+    for t in set(tokens):
+        for kind, lexicon in zip(("sure", "unsure"), lexicons, strict=True):
+            e = lexicon.edits(t)
+            if e is not None:
+                hit[t] = 2 if kind == "unsure" else min(e, 1)
+                break
     if not hit:
         return [0] * 5
     out, places = [0] * 5, []
     for i, m in enumerate(TOKEN.finditer(text)):
-        e = hit.get(m.group())
-        if e is None:
+        kind = hit.get(m.group())
+        if kind is None:
             continue
-        aside = quoted(text, m.start(), tokens, i)
-        out[2 * aside + (e > 0)] += 1
-        if not aside:
+        if quoted(text, m.start(), tokens, i):
+            out[3] += 1
+        else:
+            out[kind] += 1
             places.append(i)
     low = 0
     for k, i in enumerate(places):
@@ -220,25 +231,28 @@ def _count_stems(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
     return counts.groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Words and stems (`stem*`) that tell toxic texts, each explaining some that others don't.
+def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Words and stems (`stem*`) that tell toxic texts, sure and unsure ones.
 
-    What reaches the driver is bounded by the sample.
+    Entries are taken greedily, the one first that explains most toxic texts not
+    explained yet, less those it would explain by chance. What reaches the
+    driver is bounded by the sample.
     """
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return []
+        return [], []
     toxic, clean = sample.where("y = 1"), sample.where("y = 0")
     often = {r["stem"]: r["n"] for r in
              _count_stems(toxic, None).where(F.col("n") >= MIN_SUPPORT).collect()}
     against = {r["stem"]: r["n"] for r in _count_stems(clean, frozenset(often)).collect()}
-    # Far more frequent among toxic texts, also when one clean text is added.
+    # How many toxic texts an entry would stand in if it were as frequent there as in clean ones.
     share = sizes[1] / sizes[0]
-    pure = frozenset(s for s, n in often.items() if n >= 40 * share * (against.get(s, 0) + 0.5))
+    chance = {s: share * (against.get(s, 0) + 0.5) for s in often}
+    telling = frozenset(s for s, n in often.items() if n >= UNSURE_RATIO * chance[s])
 
     def lists(batches):
         for batch in batches:
-            rows = [sorted(_stems(t) & pure) for t in batch.column(0).to_pylist()]
+            rows = [sorted(_stems(t) & telling) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["stems"])
 
     texts = [r["stems"] for r in toxic.select("text").mapInArrow(lists, "stems array<string>").collect()]
@@ -246,40 +260,40 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     for k, stems in enumerate(texts):
         for s in stems:
             holders.setdefault(s, set()).add(k)
-    chosen, explained = [], set()
 
-    def worth(s: str) -> tuple:
-        # Of equal entries a whole word is preferred, then the longest stem.
-        return (len(holders[s] - explained), not s.endswith("*"), len(s), s)
-
-    left = {s: len(h) for s, h in holders.items()}
-    while left and len(chosen) < MAX_ENTRIES:
-        # What an entry explains only shrinks, so stale counts are upper bounds.
-        s = max(left, key=lambda x: (left[x], not x.endswith("*"), len(x), x))
-        now = worth(s)[0]
-        if now < left[s]:
-            left[s] = now
-            if now < MIN_SUPPORT:
-                del left[s]
+    def worth(s: str, n: int) -> tuple:
+        # Smallest first. Of equal entries a whole word is preferred, then the longest stem.
+        return (CHANCE_WEIGHT * chance[s] - n, s.endswith("*"), -len(s))
+
+    chosen, explained = [], set()
+    # What an entry explains only shrinks, so a stale worth is an upper bound.
+    queue = [(worth(s, len(h)), s, len(h)) for s, h in holders.items()]
+    heapq.heapify(queue)
+    while queue and len(chosen) < MAX_ENTRIES:
+        _, s, n = heapq.heappop(queue)
+        now = len(holders[s] - explained)
+        if now < n:
+            if now >= MIN_SUPPORT:
+                heapq.heappush(queue, (worth(s, now), s, now))
+            continue
+        if now - CHANCE_WEIGHT * chance[s] < MIN_SUPPORT:
             continue
         chosen.append(s)
         explained |= holders[s]
-        del left[s]
-    # Terms the texts above hold besides the chosen ones: as frequent, but hidden by them.
-    floor = max(MIN_SUPPORT, 0.02 * len(texts))
-    covered = tuple(s[:-1] for s in chosen if s.endswith("*"))
-    more = [s for s in sorted(holders, key=lambda s: (-len(holders[s]), not s.endswith("*"), -len(s), s))
-            if len(holders[s]) >= floor and s not in chosen]
-    for s in more:
-        if len(chosen) >= MAX_ENTRIES:
-            break
+    sure = [s for s in chosen if often[s] >= SURE_RATIO * chance[s]]
+    unsure = [s for s in chosen if s not in sure]
+    # Sure terms hidden by those above, as they stand in the same texts.
+    covered = tuple(s[:-1] for s in sure if s.endswith("*"))
+    floor = max(MIN_SUPPORT, HIDDEN_SHARE * len(texts))
+    for s in sorted(holders, key=lambda s: (-len(holders[s]), not s.endswith("*"), -len(s), s)):
         bare = s.rstrip("*")
-        if s.endswith("*") and any(c.startswith(bare) for c in chosen):
+        if (len(holders[s]) < floor or often[s] < SURE_RATIO * chance[s] or len(sure) >= MAX_ENTRIES or s in sure
+                or bare.startswith(covered or ("\0",))
+                or s.endswith("*") and any(c.startswith(bare) for c in sure)):
             continue
-        if not bare.startswith(covered or ("\0",)):
-            chosen.append(s)
-            covered += (bare,) if s.endswith("*") else ()
-    return chosen
+        sure.append(s)
+        covered += (bare,) if s.endswith("*") else ()
+    return sure, unsure
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -298,17 +312,17 @@ def fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0)
     return w
 
 
-FEATURES = ["abuse", "abuse_misspelled", "quotation", "quotation_misspelled", "densest"]
+FEATURES = ["abuse", "misspelled", "unsure", "quotation", "densest"]
 
 
-def with_features(rows: DataFrame, lexicon: list[str], keep: list[str]) -> DataFrame:
+def with_features(rows: DataFrame, lexicon: tuple[list[str], list[str]], keep: list[str]) -> DataFrame:
     """Columns `keep` and the features of `text`."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
-        trie = Lexicon(lexicon)
+        tries = Lexicon(lexicon[0]), Lexicon(lexicon[1], fuzzy=False)
         for batch in batches:
-            found = [features(t, trie) for t in batch.column(len(keep)).to_pylist()]
+            found = [features(t, tries) for t in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([f[k] for f in found], pa.int32()) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *columns], names=[*keep, *FEATURES])
 
@@ -316,7 +330,7 @@ def with_features(rows: DataFrame, lexicon: list[str], keep: list[str]) -> DataF
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> tuple[list[str], list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> tuple[tuple[list[str], list[str]], list[float]]:
     """Lexicon and weights from the labelled rows that `train` keeps."""
     sample = durable(sample_labelled(docs, labels, "toxic", rows, train))
     lexicon = learn_lexicon(sample)
@@ -330,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> tupl
     return lexicon, [float(v) for v in w]
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[float]]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[tuple[list[str], list[str]], list[float]]) -> DataFrame:
     """`doc_id`, `score` and the features of every document."""
     lexicon, weights = model
     found = with_features(docs.select("doc_id", "text"), lexicon, ["doc_id"])
