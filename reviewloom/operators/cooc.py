@@ -94,9 +94,13 @@ def pair_counts(found: DataFrame, vocabulary: int) -> DataFrame:
 
 
 def cooccurrence(docs: DataFrame, max_features: int = 500, doc: str = "doc_id",
-                 text: str = "text", tokenizer: T.Tokenizer = T.words) -> DataFrame:
-    """Pairs of frequent terms in one document, (term_i, term_j, n), term_i < term_j."""
-    vocab = top_vocabulary(docs, max_features, text, tokenizer)
+                 text: str = "text", tokenizer: T.Tokenizer = T.words,
+                 vocab: DataFrame | None = None) -> DataFrame:
+    """Pairs of frequent terms in one document, (term_i, term_j, n), term_i < term_j.
+
+    `vocab` is the vocabulary if it is at hand.
+    """
+    vocab = top_vocabulary(docs, max_features, text, tokenizer) if vocab is None else vocab
     found = presence(docs, vocab, max_features, doc, text, tokenizer)
     pairs = pair_counts(found, max_features)
     a = bounded(vocab.select(F.col("idx").alias("i"), F.col("term").alias("a")), max_features)

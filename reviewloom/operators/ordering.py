@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.runtime import BROADCAST_ROWS, durable
+from reviewloom.runtime import durable, hot_keys, salted_join
+
+# Rows that every partition may send to the one task of a top-n.
+HEAD_ROWS = 1_000
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
@@ -72,17 +75,18 @@ def top_n(df: DataFrame, group: str, order: list[Column], n: int, name: str = "r
 def head(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """First n rows of the table in the given order, which must leave no ties.
 
-    A short head is picked by Spark's top-n; a long one, which would meet in
-    one task, by row number.
+    A short head is picked by Spark's top-n. A long one, of which every
+    partition would send n rows to one task, is picked by row number. Both ways
+    give the same rows.
     """
-    if n <= BROADCAST_ROWS:
+    if n <= HEAD_ROWS:
         return df.orderBy(*order).limit(n)
     return global_index(df, order, "_i").where(F.col("_i") < n).drop("_i")
 
 
 def number_head(df: DataFrame, order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """First n rows of the table, numbered from 1."""
-    if n > BROADCAST_ROWS:
+    if n > HEAD_ROWS:
         rows = global_index(df, order, name).where(F.col(name) < n)
         return rows.withColumn(name, F.col(name) + 1)
     rank = F.row_number().over(Window.orderBy(*order))
@@ -94,6 +98,12 @@ def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows in an order that a hash of key and seed draws: the same on every cluster."""
+    drawn = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")))
+    return head(df, [drawn, F.col(key)], n)
+
+
 def balanced(df: DataFrame, label: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows of every label."""
     return top_n(df, label, order, n, "_rank").drop("_rank")
@@ -144,21 +154,38 @@ def drop_last(df: DataFrame, order: list[Column], k: int, name: str = "pos") ->
     return rows.where(F.col(name) < total - F.lit(k))
 
 
+def number_in(name: Column | str) -> Column:
+    """First run of digits of a name as a number, to order ids as numbers."""
+    return F.regexp_extract(name, r"\d{1,38}", 0).try_cast("decimal(38,0)")
+
+
 def split_by_app(df: DataFrame, app: str, share: float = 0.8, name: str = "part") -> DataFrame:
-    """`train` or `test` per app: the first `share` of the ordered apps train."""
-    apps = global_index(df.select(app).distinct(), [F.col(app)], "_i")
+    """All rows with `train` or `test`: the first `share` of the ordered apps train.
+
+    Apps are ordered by the number in their id, then by the id.
+    """
+    apps = global_index(df.select(app).distinct(), [number_in(app), F.col(app)], "_i")
     total = apps.agg(F.count("*")).scalar()
     train = F.col("_i") < F.floor(total * F.lit(share))
-    return apps.select(app, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias(name))
+    sides = apps.select(app, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias(name))
+    sizes = df.groupBy(app).agg(F.count("*").alias("_n"))
+    return salted_join(df, sides, app, hot_keys(sizes, app, "_n"), df.columns)
 
 
 def in_test(doc_id: str = "doc_id", percent: int = 25) -> Column:
-    """Repeatable test flag of a numeric id, by a multiplicative hash."""
+    """Repeatable test flag of a numeric id, by a multiplicative hash.
+
+    The product is taken in two halves of the id, so no id overflows.
+    """
     # Multiplier and modulus of the hash.
-    mixed = F.pmod(F.col(doc_id) * F.lit(2654435761), F.lit(4294967296))
+    factor, modulus, half = F.lit(2654435761), F.lit(4294967296), F.lit(65536)
+    low_bits = F.pmod(F.col(doc_id), modulus)
+    high, low = F.floor(low_bits / half), F.pmod(low_bits, half)
+    mixed = F.pmod(F.pmod(high * factor, half) * half + low * factor, modulus)
     return F.pmod(mixed, F.lit(100)) < F.lit(percent)
 
 
 def fold_of(doc_id: str, folds: int) -> Column:
-    """Repeatable fold number of a numeric id."""
-    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(folds)).cast("int")
+    """Repeatable fold number of an id, from the first 32 bits of its MD5."""
+    first = F.conv(F.substring(F.md5(F.col(doc_id).cast("string")), 1, 8), 16, 10)
+    return F.pmod(first.cast("bigint"), F.lit(folds)).cast("int")

@@ -199,7 +199,7 @@ def split_by_table(docs: DataFrame, rules: Sequence[Rule], doc: str, tokens: str
         F.when(p != "", retokenise(p)).otherwise(none))))
     found = first.select("lex", F.lit(True).alias("unknown"), made.alias("made"))
     hot = hot_keys(counts, "lex", "n")
-    joined = salted_join(rows, found.drop("unknown"), "lex", hot, "seq", "left")
+    joined = salted_join(rows, found.drop("unknown"), "lex", hot, [doc, "seq"], "left")
     part = F.when(F.col("unknown") & F.col("made").isNotNull(), F.col("made")).otherwise(
         F.array(token(F.col("lex"), F.col("pos"))))
     ordered = F.sort_array(F.collect_list(F.struct("seq", part.alias("part"))))

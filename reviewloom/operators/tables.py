@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reviews of neighbouring ids that are put into one part of an app's document.
@@ -69,16 +69,38 @@ def crosstab_flags(counts: DataFrame, row: str, col: str, n: str = "n", large: i
     """What the styled table shows, as columns.
 
     Largest of its row, largest of its column, zero, above `large`, and `col`
-    among `words`. `counts` holds one row per pair, so windows are small.
+    among `words`. `counts` holds one row per pair. A row or column may have
+    very many pairs, so their maxima are aggregated and joined back.
     """
-    def top(by: str) -> Column:
-        return F.col(n) == F.max(n).over(Window.partitionBy(by))
-    return counts.withColumns({
-        "is_row_max": top(row), "is_col_max": top(col),
+    def top(by: str) -> DataFrame:
+        return counts.groupBy(F.col(by).alias(f"_{by}")).agg(F.max(n).alias(f"_max_{by}"))
+    with_max = counts
+    for by in (row, col):
+        with_max = with_max.join(top(by), F.col(by).eqNullSafe(F.col(f"_{by}"))).drop(f"_{by}")
+    return with_max.withColumns({
+        "is_row_max": F.col(n) == F.col(f"_max_{row}"),
+        "is_col_max": F.col(n) == F.col(f"_max_{col}"),
         "is_zero": F.col(n) == 0, "is_large": F.col(n) > large,
-        "is_word": F.col(col).isin(list(words)) if words else F.lit(False)})
+        "is_word": F.col(col).isin(list(words)) if words else F.lit(False),
+    }).drop(f"_max_{row}", f"_max_{col}")
 
 
-def first_rank(ranked: DataFrame, wanted: DataFrame, key: str, rank: str) -> DataFrame:
-    """First rank at which each wanted key occurs."""
-    return ranked.join(wanted, key, "left_semi").groupBy(key).agg(F.min(rank).alias(rank))
+def first_rank(df: DataFrame, key: str, wanted: list[str], size: str, row_id: str,
+               rank: str) -> DataFrame:
+    """Rank of the first row of each wanted key among all rows, largest `size` first.
+
+    Equal sizes go by `row_id`. The best row of a key comes from one aggregate
+    and its rank is the number of rows before it, so nothing is sorted.
+    """
+    best = (df.where(F.col(key).isin(wanted)).groupBy(key).agg(
+        F.max(F.struct(F.col(size), -F.col(row_id))).alias("best")).collect())
+    if not best:
+        return df.select(key, F.lit(0).cast("bigint").alias(rank)).limit(0)
+
+    def before(n: int, i: int) -> Column:
+        return (F.col(size) > F.lit(n)) | ((F.col(size) == F.lit(n)) & (F.col(row_id) < F.lit(-i)))
+    counts = df.agg(*[F.count_if(before(r["best"][0], r["best"][1])).alias(f"_{k}")
+                      for k, r in enumerate(best)])
+    rows = [F.struct(F.lit(r[key]).alias(key), (F.col(f"_{k}") + 1).alias(rank))
+            for k, r in enumerate(best)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select(f"r.{key}", f"r.{rank}")

@@ -68,7 +68,7 @@ def tag_documents(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text
     """
     rows = docs.select(doc, F.posexplode(tokenizer(F.col(text))).alias("seq", "lex"))
     hot = hot_keys(lexicon, "lex", "n")
-    tagged = salted_join(rows, lexicon.select("lex", "pos"), "lex", hot, "seq", "left")
+    tagged = salted_join(rows, lexicon.select("lex", "pos"), "lex", hot, [doc, "seq"], "left")
     at = F.struct("seq", "lex", F.coalesce(F.col("pos"), tag(F.col("lex"))).alias("pos"))
     ordered = F.sort_array(F.collect_list(at))
     return tagged.groupBy(doc).agg(
@@ -160,7 +160,7 @@ def filter_by_vocab(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id",
     holds (term, cnt).
     """
     rows = docs.select(doc, F.posexplode(tokens).alias("seq", "term"))
-    kept = vocabulary_join(rows, vocab.select("term", "cnt"), "term", "cnt", "seq", max_words,
+    kept = vocabulary_join(rows, vocab.select("term", "cnt"), "term", "cnt", [doc, "seq"], max_words,
                            "left_semi")
     ordered = F.sort_array(F.collect_list(F.struct("seq", "term")))
     return kept.groupBy(doc).agg(F.transform(ordered, lambda t: t.term).alias("terms"))

@@ -26,13 +26,13 @@ def idf_of(df: Column, n_docs: Column, kind: str) -> Column:
     return F.lit(1.0)
 
 
-def limit_vocabulary(tf: DataFrame, max_features: int | None) -> DataFrame:
+def limit_vocabulary(tf: DataFrame, doc: str, max_features: int | None) -> DataFrame:
     """Keep the terms with the largest total count."""
     if max_features is None:
         return tf
     totals = tf.groupBy("term").agg(F.sum("n").alias("total"))
     kept = top_by_frequency(totals, "total", max_features)
-    return vocabulary_join(tf, kept, "term", "total", "n", max_features, "left_semi")
+    return vocabulary_join(tf, kept, "term", "total", doc, max_features, "left_semi")
 
 
 def idf_table(tf: DataFrame, n_docs: Column, kind: str = "smooth") -> DataFrame:
@@ -77,7 +77,7 @@ def tfidf(tf: DataFrame, n_docs: Column, doc: str, idf: str = "smooth", sublinea
     stands for many rows (an app), norms are summed apart and joined back with
     large documents split.
     """
-    tf = limit_vocabulary(tf.where(F.col(doc).isNotNull()), max_features)
+    tf = limit_vocabulary(tf.where(F.col(doc).isNotNull()), doc, max_features)
     table = idf_table(tf, n_docs, idf)
     raw = raw_weights(tf, table, doc, sublinear, max_features)
     if drop_zero:

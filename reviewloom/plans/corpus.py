@@ -191,17 +191,15 @@ def word_cloud_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bigrams", f"""
 WITH {TOK}, b AS (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM tok)
-SELECT w || ' ' || nxt AS bigram, count(*) AS n FROM b WHERE nxt IS NOT NULL GROUP BY 1
-ORDER BY n DESC, bigram LIMIT 200""")
+SELECT w || ' ' || nxt AS bigram, count(*) AS n FROM b WHERE nxt IS NOT NULL GROUP BY 1""")
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return frequent_pairs(docs_of(spark, sf), 200)
+    return pair_counts(docs_of(spark, sf))
 
 
-def frequent_pairs(docs: DataFrame, n: int) -> DataFrame:
+def pair_counts(docs: DataFrame) -> DataFrame:
     split = docs.select(T.words("text").alias("w"))
     rows = split.select(F.explode(T.ngrams(F.col("w"), 2)).alias("bigram"))
-    return (tables.group_counts(rows, "bigram")
-            .orderBy(F.col("n").desc(), F.col("bigram")).limit(n))
+    return tables.group_counts(rows, "bigram")
 
 
 @query("docs_by_rating", f"""
@@ -314,24 +312,29 @@ def apply_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rewritten(spark, sf, split=True, merge=True)
 
 
-def pair_rules(docs: DataFrame, n: int) -> DataFrame:
-    """Rules that join the words of the n most frequent word pairs."""
+# Word pairs as frequent as this become rules.
+PAIR_COUNT = 20
+
+
+def pair_rules(docs: DataFrame) -> DataFrame:
+    """Rules that join the words of every word pair seen PAIR_COUNT times or more."""
     pair = F.split("bigram", " ")
     noun = F.lit("NNG")
     first, second = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-    return frequent_pairs(docs, n).orderBy(F.col("n").desc(), F.col("bigram")).select(
+    pairs = pair_counts(docs).where(F.col("n") >= PAIR_COUNT)
+    return pairs.orderBy(F.col("n").desc(), F.col("bigram")).select(
         F.array(T.token(first, noun), T.token(second, noun)).alias("before"),
         F.array(T.token(F.concat(first, second), noun)).alias("after"))
 
 
-def _top_pairs(source: str, n: int) -> str:
+def _pairs(source: str) -> str:
     return f"""SELECT w, nxt, count(*) AS n FROM {source} WHERE nxt IS NOT NULL GROUP BY w, nxt
-      ORDER BY n DESC, w || ' ' || nxt LIMIT {n}"""
+      HAVING count(*) >= {PAIR_COUNT}"""
 
 
 @query("rules_parse", f"""
 WITH {TOK}, b AS (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM tok),
-  top AS ({_top_pairs('b', 100)}),
+  top AS ({_pairs('b')}),
   r AS (SELECT row_number() OVER (ORDER BY n DESC, w || ' ' || nxt) AS rule_no, w, nxt FROM top)
 SELECT CAST(rule_no AS INTEGER) AS rule_no, 'before' AS side, 0 AS pair_no, w AS lex, 'NNG' AS pos
 FROM r
@@ -339,7 +342,7 @@ UNION ALL SELECT CAST(rule_no AS INTEGER), 'before', 1, nxt, 'NNG' FROM r
 UNION ALL SELECT CAST(rule_no AS INTEGER), 'after', 0, w || nxt, 'NNG' FROM r""")
 def rules_parse(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "rules")
-    R.write_rules(pair_rules(docs_of(spark, sf), 100), path)
+    R.write_rules(pair_rules(docs_of(spark, sf)), path)
     return R.rule_pairs(R.read_rules(spark, path))
 
 
@@ -348,13 +351,13 @@ WITH {TOK}, b AS (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY seq) AS n
   ctokl AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{SPACE}]+') AS l FROM conversations),
   ctok AS (SELECT conv_id, turn, unnest(l) AS w, generate_subscripts(l, 1) AS seq FROM ctokl),
   cb AS (SELECT w, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY seq) AS nxt FROM ctok),
-  stored AS ({_top_pairs('b', 100)}), proposed AS ({_top_pairs('cb', 100)})
+  stored AS ({_pairs('b')}), proposed AS ({_pairs('cb')})
 SELECT w || ' ' || nxt AS before, w || nxt AS after FROM proposed
 WHERE (w, nxt) NOT IN (SELECT (w, nxt) FROM stored)""")
 def rules_update(spark: SparkSession, sf: str) -> DataFrame:
-    stored = pair_rules(docs_of(spark, sf), 100)
+    stored = pair_rules(docs_of(spark, sf))
     turns = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), "text")
-    fresh = R.new_rules(stored, pair_rules(turns, 100))
+    fresh = R.new_rules(stored, pair_rules(turns))
     return fresh.select(F.array_join(K.lex_only("before"), " ").alias("before"),
                         F.array_join(K.lex_only("after"), " ").alias("after"))

@@ -102,9 +102,7 @@ SELECT source, min(rank) AS rank FROM r WHERE source IN ('src1', 'src5', 'src12'
 """)
 def rank_lookup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("source", "n_chars", "doc_id")
-    ranked = ordering.global_index(docs, [F.col("n_chars").desc(), F.col("doc_id")], "rank")
-    wanted = docs.select("source").where(F.col("source").isin("src1", "src5", "src12")).distinct()
-    return tables.first_rank(ranked.withColumn("rank", F.col("rank") + 1), wanted, "source", "rank")
+    return tables.first_rank(docs, "source", ["src1", "src5", "src12"], "n_chars", "doc_id", "rank")
 
 
 @query("category_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -207,10 +205,14 @@ def ntile_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("split_by_app", """
 WITH a AS (SELECT DISTINCT source FROM documents),
-  r AS (SELECT source, row_number() OVER (ORDER BY source) AS r, count(*) OVER () AS n FROM a)
-SELECT source, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM r""")
+  r AS (SELECT source, row_number() OVER (
+          ORDER BY TRY_CAST(regexp_extract(source, '[0-9]+') AS HUGEINT), source) AS r,
+        count(*) OVER () AS n FROM a)
+SELECT doc_id, source, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part
+FROM documents JOIN r USING (source)""")
 def split_by_app(spark: SparkSession, sf: str) -> DataFrame:
-    return ordering.split_by_app(table(spark, sf, "documents"), "source")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return ordering.split_by_app(docs, "source")
 
 
 @query("train_test_counts", """

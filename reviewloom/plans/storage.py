@@ -115,13 +115,14 @@ SELECT CAST(doc_id AS VARCHAR) AS review_id, substring(source, 4) AS app_id, lan
   CAST(doc_id AS VARCHAR) AS author_id, CAST(NULL AS VARCHAR) AS title,
   md5(nullif({_CLEAN}, '')) AS digest FROM documents""")
 def src_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    """Two batches of scraped files, read together."""
+    """Two batches of scraped files, named by index range and read together."""
     raw = raw_reviews(spark, sf)
-    paths = [scratch_path(spark, "batch") for _ in range(2)]
+    base = scratch_path(spark, "batches")
+    names = files.batch_names("n_reviews", 2 * files.BATCH_SIZE)
     odd = F.col("review_id").cast("long") % 2 == 1
-    for path, part in zip(paths, [~odd, odd]):
-        files.write_tsv(raw.where(part), path, clean=True)
-    back = files.read_tsv(spark, paths)
+    for name, part in zip(names, [~odd, odd]):
+        files.write_tsv(raw.where(part), f"{base}/{name}", clean=True)
+    back = files.read_tsv(spark, [f"{base}/{files.literal(name)}" for name in names])
     return back.select("review_id", "app_id", "category",
                        fields.author_id("author_url").alias("author_id"), "title",
                        F.md5("review").alias("digest"))
@@ -178,7 +179,7 @@ def sink_csv_parts(spark: SparkSession, sf: str) -> DataFrame:
 def sink_table(spark: SparkSession, sf: str) -> DataFrame:
     """A table of fixed schema, created, filled and read by name."""
     path = scratch_path(spark, "table")
-    name = "reviews_" + path.rsplit("-", 1)[1]
+    name = "reviews_" + path.split("scratch-")[-1].split("/")[0]
     schema = ST.StructType([ST.StructField("doc_id", ST.LongType()),
                             ST.StructField("lang", ST.StringType()),
                             ST.StructField("source", ST.StringType())])

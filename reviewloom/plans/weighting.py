@@ -10,6 +10,7 @@ from reviewloom.operators.ordering import in_test
 from reviewloom.plans.corpus import docs_of
 from reviewloom.plans.registry import TOK, documents, query, table
 from reviewloom.plans.reviews import labelled
+from reviewloom.runtime import durable
 
 TERMS = 500
 NEAREST_PAIRS = 200
@@ -154,11 +155,12 @@ def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 def distances(spark: SparkSession, sf: str) -> DataFrame:
     docs = docs_of(spark, sf)
-    vocabulary = cooc.top_vocabulary(docs, TERMS)
-    return cooc.correlation_distance(cooc.cooccurrence(docs, TERMS), vocabulary, TERMS)
+    vocabulary = durable(cooc.top_vocabulary(docs, TERMS))
+    return cooc.correlation_distance(
+        cooc.cooccurrence(docs, TERMS, vocab=vocabulary), vocabulary, TERMS)
 
 
-@query("term_distance", f"""{_PAIRS},
+_DISTANCES = f"""{_PAIRS},
   m AS (SELECT term_i AS t, term_j AS k, n FROM e UNION ALL SELECT term_j, term_i, n FROM e),
   s AS (SELECT t, CAST(sum(n) AS DOUBLE) AS s,
           sqrt({TERMS} * CAST(sum(n * n) AS DOUBLE) - CAST(sum(n) AS DOUBLE) * sum(n)) AS d
@@ -168,18 +170,30 @@ def distances(spark: SparkSession, sf: str) -> DataFrame:
   p AS (SELECT a.t AS a, b.t AS b, a.s AS sa, b.s AS sb, a.d AS da, b.d AS db FROM s a
         JOIN s b ON a.t < b.t WHERE a.d > 0 AND b.d > 0),
   f AS (SELECT a, b, 1e0 - ({TERMS} * coalesce(xy, 0) - sa * sb) / (da * db) AS distance
-        FROM p LEFT JOIN x USING (a, b))
+        FROM p LEFT JOIN x USING (a, b))"""
+
+
+@query("term_distance", f"""{_DISTANCES}
 SELECT a AS term_i, b AS term_j, round(distance, 6) AS distance FROM f WHERE distance <> 0""")
 def term_distance(spark: SparkSession, sf: str) -> DataFrame:
     return cooc.sorted_pairs(distances(spark, sf)).withColumn(
         "distance", F.round("distance", 6))
 
 
-@query("mst_edges")
+@query("mst_edges", f"""{_DISTANCES.replace("WITH", "WITH RECURSIVE", 1)},
+  g AS (SELECT a, b, round(distance, 6) AS d FROM f WHERE distance <> 0),
+  n AS (SELECT a, b, d, row_number() OVER (ORDER BY d, a, b) AS r FROM g
+        QUALIFY row_number() OVER (ORDER BY d, a, b) <= {NEAREST_PAIRS}),
+  reach AS (SELECT r, a AS v FROM n
+            UNION SELECT reach.r, CASE WHEN n.a = v THEN n.b ELSE n.a END
+            FROM reach JOIN n ON n.r < reach.r AND (n.a = v OR n.b = v))
+SELECT a AS term_i, b AS term_j, d AS distance FROM n
+WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = n.r AND reach.v = n.b)""")
 def mst_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Forest of the nearest pairs; an edge is left out if smaller ones join its ends already."""
     nearest = cooc.sorted_pairs(distances(spark, sf)).limit(NEAREST_PAIRS)
-    forest = cooc.spanning_forest(nearest, "term_i", "term_j", "distance")
-    return forest.withColumn("distance", F.round("distance", 6))
+    rounded = nearest.withColumn("distance", F.round("distance", 6))
+    return cooc.spanning_forest(rounded, "term_i", "term_j", "distance")
 
 
 def rated_tf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -230,11 +244,11 @@ _BAYES = f"""WITH {TOK},
 
 
 @query("nb_model", f"""{_BAYES}
-SELECT c AS y, term, round(ll, 6) AS log_likelihood FROM ll
-QUALIFY row_number() OVER (PARTITION BY c ORDER BY round(ll, 6) DESC, term) <= 50""")
+SELECT c AS y, term, round(ll, 6) AS log_likelihood FROM ll""")
 def nb_model(spark: SparkSession, sf: str) -> DataFrame:
-    top = bayes.top_terms(bayes_model(spark, sf), 50)
-    return top.select(F.col("label").alias("y"), "term", F.col("ll").alias("log_likelihood"))
+    rows = bayes.term_table(bayes_model(spark, sf))
+    return rows.select(F.col("label").alias("y"), "term",
+                       F.round("ll", 6).alias("log_likelihood"))
 
 
 @query("nb_predict", f"{_BAYES} SELECT doc_id, y, pred, score FROM pred")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,32 +14,45 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there can be
-# fewer than HOT_SHARE of them whatever the data.
+# fewer than HOT_SHARE of them whatever the data. It is split into pieces of
+# about 1/HOT_SHARE of the rows, so there are fewer than 2 * HOT_SHARE of these.
 HOT_SHARE = 1000
 
-# Number of pieces a hot key is split into.
-SALTS = 64
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster.
 
-    Only where the cluster names none (local tests) a temporary one is made.
+    Only a local session (a test) may go without one and gets a temporary
+    folder, removed at the end.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="reviewloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path under the shared folder, removed when the session's JVM ends."""
+    parent = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(parent)
+    fs = folder.getFileSystem(jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{parent}/{name}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint that outlives executors."""
+    """Cut the lineage by a reliable checkpoint that outlives executors.
+
+    Spark removes its files once the frame is no longer referenced if
+    `spark.cleaner.referenceTracking.cleanCheckpoints` is set.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -63,8 +77,9 @@ def bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
     return df
 
 
-def vocabulary_join(left: DataFrame, vocab: DataFrame, key: str, count: str, spread_by: str,
-                    max_rows: int | None, how: str = "inner") -> DataFrame:
+def vocabulary_join(left: DataFrame, vocab: DataFrame, key: str, count: str,
+                    spread_by: str | list[str], max_rows: int | None,
+                    how: str = "inner") -> DataFrame:
     """Join rows to a vocabulary with a row count per key.
 
     A vocabulary of proven small size is broadcast; of another the frequent
@@ -76,24 +91,26 @@ def vocabulary_join(left: DataFrame, vocab: DataFrame, key: str, count: str, spr
 
 
 def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """Keys above 1/HOT_SHARE of all rows; fewer than HOT_SHARE rows."""
+    """Keys above 1/HOT_SHARE of all rows with the pieces to split each into."""
     total = counts.agg(F.sum(n).alias("_total")).scalar()
-    return counts.where(F.col(n) * F.lit(HOT_SHARE) > total).select(key)
+    share = F.col(n) * F.lit(HOT_SHARE) / total
+    return counts.where(share > 1).select(key, F.ceil(share).cast("int").alias("_pieces"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame,
-                spread_by: str, how: str = "inner") -> DataFrame:
-    """Join on `key` with the hot keys split over SALTS tasks.
+                spread_by: str | list[str], how: str = "inner") -> DataFrame:
+    """Join on `key` with the hot keys split by the `spread_by` columns of the left side.
 
-    `right` has few rows per key. Rows of a hot key get a salt from `spread_by`
-    on the left and are repeated per salt on the right; other keys keep salt 0.
+    `right` has few rows per key. Rows of a hot key get one of its pieces on the
+    left and are repeated per piece on the right; other keys have one piece.
+    `spread_by` has to tell the rows of a key apart.
     """
-    flag = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    columns = [spread_by] if isinstance(spread_by, str) else spread_by
+    flag = F.broadcast(hot.select(key, "_pieces"))
+    piece = F.pmod(F.xxhash64(*columns), F.col("_pieces")).cast("int")
     salted = (left.join(flag, key, "left")
-              .withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+              .withColumn("_salt", F.coalesce(piece, F.lit(0))).drop("_pieces"))
+    copies = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     repeated = (right.join(flag, key, "left")
-                .withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-                .drop("_hot"))
+                .withColumn("_salt", F.explode(copies)).drop("_pieces"))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

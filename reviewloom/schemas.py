@@ -46,6 +46,7 @@ DOCS_VOCAB_JSONL = T.StructType([
 ])
 DOCS_BY_APP_JSONL = T.StructType([
     T.StructField("app_id", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("rating", T.ArrayType(T.StringType())),
     T.StructField("ma", T.ArrayType(T.StringType())),
     T.StructField("category", T.StringType()),

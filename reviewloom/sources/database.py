@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 REVIEW_PROJECTION = [
     "app_id", "app_name", "title", "review", "rating", "category", "author_url", "author",
 ]
-# Column types when the writer creates the table.
-COLUMN_TYPES = ", ".join(f"{c} VARCHAR(32000)" for c in [
-    "app_id", "app_name", "review_id", "title", "author", "author_url", "version", "rating",
-    "review", "category"])
 
 
 def jdbc_options(url: str, table: str, columns: list[str] | None = None,
@@ -38,7 +34,6 @@ def read_reviews(spark: SparkSession, url: str, table: str = "reviews",
 
 def write_reviews(df: DataFrame, url: str, table: str = "reviews", batch: int = 10_000,
                   **options: str) -> None:
-    """Append rows in batches; the table is created with string columns if absent."""
+    """Append rows in batches; a missing table is created with the database's own text type."""
     (df.write.format("jdbc").mode("append")
-     .options(url=url, dbtable=table, batchsize=str(batch),
-              createTableColumnTypes=COLUMN_TYPES, **options).save())
+     .options(url=url, dbtable=table, batchsize=str(batch), **options).save())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from reviewloom import schemas
 from reviewloom.functions import fields
@@ -22,14 +22,33 @@ def read_jsonl(spark: SparkSession, path, key_ma: bool = True, only_ma: bool = F
     schema = schemas.DOCS_MA_JSONL if key_ma else schemas.DOCS_JSONL
     if only_ma:
         schema = StructType([schema["app_id"], schema["ma" if key_ma else "review"]])
-    df = spark.read.schema(schema).json(path)
+    df = _good_lines(spark, path, schema)
     return df.withColumn("ma", K.from_pairs("ma")) if key_ma else df
 
 
+def _parsed(spark: SparkSession, path, schema: StructType) -> DataFrame:
+    """Lines that are not blank, parsed into `r`; what cannot be parsed is in `r._bad`."""
+    with_bad = StructType([*schema.fields, StructField("_bad", StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.withColumn("r", F.from_json("value", with_bad,
+                                             {"columnNameOfCorruptRecord": "_bad"}))
+
+
+def _good_lines(spark: SparkSession, path, schema: StructType) -> DataFrame:
+    rows = _parsed(spark, path, schema).where("r._bad IS NULL")
+    return rows.select(*[F.col(f"r.{f.name}") for f in schema.fields])
+
+
+def bad_lines(spark: SparkSession, path, schema: StructType = schemas.DOCS_MA_JSONL) -> DataFrame:
+    """Lines the readers leave out as broken, (file, line); count them to know what is missing."""
+    return (_parsed(spark, path, schema).where("r._bad IS NOT NULL")
+            .select(F.input_file_name().alias("file"), F.col("value").alias("line")))
+
+
 def read_jsonl_terms(spark: SparkSession, path, by_app: bool = False) -> DataFrame:
     """As `read_jsonl` for documents whose tokens are `lex/pos` strings."""
-    schema = schemas.DOCS_BY_APP_JSONL if by_app else schemas.DOCS_VOCAB_JSONL
-    return spark.read.schema(schema).json(path)
+    return _good_lines(spark, path,
+                       schemas.DOCS_BY_APP_JSONL if by_app else schemas.DOCS_VOCAB_JSONL)
 
 
 def write_jsonl(df: DataFrame, path: str, only_ma: bool = False) -> None:
@@ -49,6 +68,13 @@ def read_json_documents(spark: SparkSession, path) -> DataFrame:
                        .alias("key", "words"))
 
 
+def bad_json_documents(spark: SparkSession, path) -> DataFrame:
+    """Files that `read_json_documents` leaves out as broken."""
+    text = spark.read.text(path, wholetext=True)
+    return text.where(F.from_json("value", "map<string,array<string>>").isNull()).select(
+        F.input_file_name().alias("file"))
+
+
 def write_json_documents(df: DataFrame, path: str, key: str, words: str) -> None:
     """One JSON object `{key: words}` per line, in as many files as tasks."""
     df.select(F.to_json(F.create_map(key, words)).alias("value")).write.text(path)
@@ -71,6 +97,11 @@ def batch_names(prefix: str, total: int, first: int = 1, last: int | None = None
     return names[first - 1:last]
 
 
+def literal(name: str) -> str:
+    """A file name in which brackets are not taken for a pattern."""
+    return name.replace("[", "\\[").replace("]", "\\]")
+
+
 def read_tsv(spark: SparkSession, paths, schema: StructType = schemas.REVIEWS_RAW,
              lineage: bool = False) -> DataFrame:
     """Scraped TSV files with header; all strings, NaN is NULL."""

@@ -73,7 +73,11 @@ def _page_nodes(html: pd.Series) -> pd.DataFrame:
     rows = []
     for text in html:
         page = _AppPage()
-        page.feed(text or "")
+        try:
+            page.feed(text or "")
+        except (AssertionError, ValueError):
+            # The parser gives up on some broken declarations: the page has no fields.
+            page = _AppPage()
         rows.append((page.title, page.developer, page.items, page.category, page.label))
     return pd.DataFrame(rows, columns=["title", "developer", "items", "category", "label"])
 

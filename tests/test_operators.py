@@ -161,7 +161,7 @@ def test_chunks_cover_all_rows(spark, n, k):
 def test_long_head_equals_short_head(spark, monkeypatch):
     rows, df = hot_table(spark, 400)
     short = ordering.number_head(df, [F.col("i").desc()], 37).orderBy("rank").collect()
-    monkeypatch.setattr(ordering, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(ordering, "HEAD_ROWS", 5)
     long = ordering.number_head(df, [F.col("i").desc()], 37).orderBy("rank").collect()
     assert [tuple(r) for r in long] == [tuple(r) for r in short] and len(long) == 37
     assert {r["i"] for r in ordering.head(df, [F.col("i")], 9).collect()} == set(range(9))
@@ -358,3 +358,61 @@ def test_folds_cover_all_rows(spark):
     folds = Counter(r["f"] for r in spark.range(300).select(
         ordering.fold_of("id", 3).alias("f")).collect())
     assert set(folds) == {0, 1, 2} and sum(folds.values()) == 300
+
+
+def test_in_test_takes_any_id(spark):
+    ids = [0, 1, 7, 10**12, 2**33, 2**62, -5]
+    got = {r["id"]: r["te"] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(
+        "id", ordering.in_test("id").alias("te")).collect()}
+    assert got == {i: i * 2654435761 % 2**32 % 100 < 25 for i in ids}
+
+
+def test_apps_are_split_in_numeric_order(spark):
+    rows = [(f"src{k}", j) for k in (1, 2, 3, 10, 20) for j in range(k)]
+    got = ordering.split_by_app(spark.createDataFrame(rows, "app string, j int"), "app").collect()
+    assert len(got) == 36
+    assert {r["app"] for r in got if r["part"] == "test"} == {"src20"}
+
+
+def test_long_head_cuts_ties_in_order(spark):
+    rows = spark.createDataFrame([(f"t{i:05d}", 1) for i in range(3000)], "term string, n int")
+    got = ordering.head(rows, [F.col("n").desc(), F.col("term")], 1500).collect()
+    assert sorted(r["term"] for r in got) == [f"t{i:05d}" for i in range(1500)]
+
+
+def test_hot_key_is_split_by_document(spark):
+    """A word that always stands first in its document still gets many pieces."""
+    from reviewloom import runtime
+    left = spark.createDataFrame([(i, 0, "From") for i in range(2000)], "doc int, seq int, lex string")
+    counts = spark.createDataFrame([("From", 2000)], "lex string, n long")
+    hot = runtime.hot_keys(counts, "lex", "n")
+    assert hot.first()["_pieces"] == runtime.HOT_SHARE
+    right = spark.createDataFrame([("From", "x")], "lex string, pos string")
+    got = runtime.salted_join(left, right, "lex", hot, ["doc", "seq"])
+    assert got.count() == 2000 and got.where("pos = 'x'").count() == 2000
+
+
+def test_rule_routes_agree(spark):
+    """100 rules go by expression, 101 by table, with equal results."""
+    docs = spark.createDataFrame(
+        [(i, [(f"xk{i % 120}y", "NA"), ("b", "NNG")]) for i in range(240)],
+        "doc_id long, tokens array<struct<lex:string,pos:string>>")
+    made = [([(f"k{i}y", "NA")], [(f"K{i}", "NNG")]) for i in range(101)]
+    a = {r["doc_id"]: r["tokens"] for r in rules.apply_rules(docs, made[:100]).collect()}
+    b = {r["doc_id"]: r["tokens"] for r in rules.apply_rules(docs, made).collect()}
+    assert {i for i in a if a[i] != b[i]} == {100, 220}
+
+
+def test_vectoriser_options(spark):
+    from reviewloom.operators.features import TfIdf
+    docs = spark.createDataFrame([(["a", "b", "a"],), (["b", "c"],)], "tokens array<string>")
+    counts = TfIdf(vectoriser="count").fit(docs)
+    first = counts.transform(docs).first()["features"]
+    assert first[counts.vocabulary.index("a")] == 2.0
+    pairs = TfIdf(ngrams=2, maxFeatures=None, sublinear=True, norm="l1").fit(docs)
+    assert set(pairs.vocabulary) == {"a", "b", "c", "a b", "b a", "b c"}
+    v = pairs.transform(docs).first()["features"]
+    idf = {"a": np.log(3 / 2) + 1, "b": 1.0, "a b": np.log(3 / 2) + 1, "b a": np.log(3 / 2) + 1}
+    raw = {t: (1 + np.log(2 if t == "a" else 1)) * w for t, w in idf.items()}
+    for t, x in raw.items():
+        assert abs(v[pairs.vocabulary.index(t)] - x / sum(raw.values())) < 1e-9

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewloom import schemas
@@ -50,6 +51,39 @@ def test_whole_json_document(spark, tmp_path):
     assert got == {"1": ["a/N", "b/V"], "2": []}
 
 
+def test_broken_json_document_is_reported(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"1": ["a/N"]}', encoding="utf-8")
+    (tmp_path / "cut.json").write_text('{"2": ["a/', encoding="utf-8")
+    assert files.read_json_documents(spark, str(tmp_path)).count() == 1
+    bad = files.bad_json_documents(spark, str(tmp_path)).collect()
+    assert [r["file"].rsplit("/", 1)[1] for r in bad] == ["cut.json"]
+
+
+def test_broken_page_has_no_fields(spark):
+    rows = spark.createDataFrame([("u", "<![foo[x]]><p>a"), ("v", None)], "url string, html string")
+    got = pages.app_pages(rows).collect()
+    assert [r["title"] for r in got] == [None, None] and not any(r["complete"] for r in got)
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark, monkeypatch):
+    from reviewloom import runtime
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session())
+
+
 def test_jdbc_options():
     got = database.jdbc_options("jdbc:x", "reviews", ["app_id"], key="idx", bounds=(1, 9), parts=3)
     assert got["dbtable"] == "(select app_id from reviews) t"
