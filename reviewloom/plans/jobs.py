@@ -4,20 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
-from reviewloom.operators import bayes, clusters, cooc, features, tables, vocab, weights
-from reviewloom.operators.ordering import in_test
+from reviewloom.operators import (
+    bayes,
+    classify,
+    clusters,
+    cooc,
+    features,
+    tables,
+    topics,
+    vectors,
+    vocab,
+    weights,
+)
+from reviewloom.operators.ordering import balanced, fold_of, in_test
 from reviewloom.operators.rules import Rule, apply_rules
+from reviewloom.runtime import durable
 from reviewloom.sources import files
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Number the rows of a file scan; the number follows file order."""
-    return df.withColumn("doc_id", F.monotonically_increasing_id())
+    """Number the rows of a file scan; the number follows file order.
+
+    The numbered rows are written once: numbers made anew for each side of a
+    join would agree only if both scans are split alike.
+    """
+    return durable(df.withColumn("doc_id", F.monotonically_increasing_id()))
 
 
 def respace(spark: SparkSession, source: str, target: str,
@@ -50,7 +68,8 @@ def select_terms(spark: SparkSession, source: str, target: str,
 
     Documents pass the same token chain as the dictionary; with
     `normalise_docs=False` their raw tokens are looked up instead. Emptied
-    documents are dropped. `by_app` puts reviews of an app together, in parts.
+    documents are dropped. `by_app` puts reviews of an app together, in parts
+    whose order the column `part` keeps.
     """
     docs = _numbered(files.read_jsonl(spark, source))
     chain = K.filter_tokens("ma", choose_pos, min_length, lemma)
@@ -63,7 +82,7 @@ def select_terms(spark: SparkSession, source: str, target: str,
     if by_app:
         out = tables.per_app_docs(out, "app_id", "doc_id", "ma", "app_name", "category",
                                   rating="rating")
-        out = out.withColumnRenamed("tokens", "ma").drop("part", "docs")
+        out = out.withColumnRenamed("tokens", "ma").drop("docs")
     files.write_jsonl(out.drop("doc_id"), target)
     return words
 
@@ -105,8 +124,8 @@ def word_network(spark: SparkSession, source: str, target: str, n_edges: int,
 
     def same(c):
         return c
-    words = cooc.top_vocabulary(docs, max_features, "ma", same)
-    edges = cooc.cooccurrence(docs, max_features, "doc_id", "ma", same)
+    words = durable(cooc.top_vocabulary(docs, max_features, "ma", same))
+    edges = cooc.cooccurrence(docs, max_features, "doc_id", "ma", same, vocab=words)
     pairs = cooc.sorted_pairs(
         cooc.correlation_distance(edges, words, max_features), ascending)
     files.write_tsv(pairs, target)
@@ -114,7 +133,7 @@ def word_network(spark: SparkSession, source: str, target: str, n_edges: int,
 
 
 def app_clusters(spark: SparkSession, source: str, k: int | None = None, n: int = 10,
-                 max_features: int = 5000, tries: int = 10) -> tuple[DataFrame, DataFrame]:
+                 max_features: int = vocab.MAX_WORDS, tries: int = 10) -> tuple[DataFrame, DataFrame]:
     """Cluster report and the cross-tab of category by cluster.
 
     Without k there is one cluster per category.
@@ -124,9 +143,9 @@ def app_clusters(spark: SparkSession, source: str, k: int | None = None, n: int
     apps = docs.agg(F.count_distinct("app_id")).scalar()
     words = vocab.indexed(tf.groupBy("term").agg(F.sum("n").alias("cnt")), max_features)
     weighed = weights.tfidf(tf, apps, "app_id", max_features=max_features, grouped=True)
-    category = docs.groupBy("app_id").agg(F.min("category").alias("category"))
+    category = docs.groupBy("app_id").agg(F.min_by("category", "part").alias("category"))
     rows = features.vectors_of(weighed, words, "app_id", max_features).join(category, "app_id")
-    rows = rows.persist()
+    rows = durable(rows)
     k = k or rows.select("category").distinct().count()
     model = clusters.fit_kmeans(rows, k, tries=tries)
     clustered = model.transform(rows)
@@ -141,3 +160,90 @@ def rating_classifier(spark: SparkSession, source: str, **options) -> DataFrame:
           .groupBy("doc_id", "rating", "te", "term").agg(F.count("*").alias("n")))
     model = bayes.fit(tf.where("NOT te"), docs.where("NOT te"), "doc_id", "rating", **options)
     return bayes.predict(model, tf.where("te"), docs.where("te"), "doc_id", "rating")
+
+
+def _rated(spark: SparkSession, source: str) -> DataFrame:
+    """Reviews with a rating: doc_id, rating, te (held out) and tokens."""
+    docs = _numbered(files.read_jsonl_terms(spark, source))
+    return docs.where(F.col("rating").isNotNull()).select(
+        "doc_id", "rating", in_test().alias("te"), F.col("ma").alias("tokens"))
+
+
+def _indexed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Ratings as labels 0, 1, ... in the order of their text."""
+    order = StringIndexer(inputCol="rating", outputCol="label",
+                          stringOrderType="alphabetAsc").fit(docs)
+    return order.transform(docs), list(order.labels)
+
+
+def svm_classifier(spark: SparkSession, source: str, **options) -> DataFrame:
+    """Linear SVM on ratings with a quarter held out, (doc_id, rating, pred)."""
+    docs, labels = _indexed(_rated(spark, source))
+    model = classify.svm_pipeline(classes=len(labels), **options).fit(docs.where("NOT te"))
+    pred = classify.predictions(model, docs.where("te"), "doc_id", "rating")
+    return pred.withColumn("pred", F.get(F.array(*[F.lit(x) for x in labels]), F.col("pred")))
+
+
+def rating_grid(spark: SparkSession, source: str, folds: int = 10,
+                alphas: Sequence[float] = (1.0, 2.0), sublinear: Sequence[bool] = (True, False),
+                **axes) -> DataFrame:
+    """Cross-validated accuracy of every combination of vectoriser and smoothing."""
+    docs, _ = _indexed(_rated(spark, source))
+    docs = docs.withColumn("fold", fold_of("doc_id", folds))
+    pipeline = classify.bayes_pipeline()
+    grid = classify.bayes_grid(pipeline, list(alphas), list(sublinear), **axes)
+    return classify.grid_scores(
+        classify.grid_search(pipeline, grid, docs, folds=folds, fold_col="fold"), docs)
+
+
+def review_topics(spark: SparkSession, source: str, target: str, k: int = 5,
+                  threshold: float | None = None, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Write reviews with their topic; give the topics' words and a map without the unknown."""
+    docs = _rated(spark, source)
+    counts, lda = topics.fit_topics(docs, k=k)
+    placed = topics.distribution(counts, lda, docs).withColumn(
+        "topic", topics.assign("topics", threshold))
+    placed.select("doc_id", "rating", "topic", F.col("tokens").alias("ma")).write.json(target)
+    flat = clusters.project_2d(placed, "topics", "topic", unknown=k)
+    return topics.topic_words(counts, lda, n), flat.select("doc_id", "topic", "xy")
+
+
+def similar_reviews(spark: SparkSession, source: str, words: Sequence[str], n: int = 20,
+                    **options) -> DataFrame:
+    """The n reviews nearest to a query by word vectors, (doc_id, cosine, ...)."""
+    docs = _rated(spark, source)
+    model = features.fit_word_vectors(docs, **options)
+    asked = features.infer(model, docs, list(words))
+    rows = model.transform(docs).select("doc_id", vector_to_array("vector").alias("vector"))
+    return vectors.ranked_by_cosine(rows, asked, "doc_id", "vector", n)
+
+
+def compare_models(spark: SparkSession, source: str, n: int = 12_500, good: str = "5",
+                   bad: str = "1", **options) -> DataFrame:
+    """Accuracy of naive Bayes on words and of logistic regression on word vectors.
+
+    Both see the same n reviews of the best and of the worst rating and the same
+    quarter held out.
+    """
+    label = F.when(F.col("rating") == good, 1).when(F.col("rating") == bad, 0)
+    docs = _rated(spark, source).withColumn("label", label).where("label IS NOT NULL")
+    docs = durable(balanced(docs, "label", [F.col("doc_id")], n))
+    tf = (docs.select("doc_id", "label", "te", F.explode("tokens").alias("term"))
+          .groupBy("doc_id", "label", "te", "term").agg(F.count("*").alias("n")))
+    model = bayes.fit(tf.where("NOT te"), docs.where("NOT te"), "doc_id", "label")
+    by_words = bayes.predict(model, tf.where("te"), docs.where("te"), "doc_id", "label")
+    placed = features.fit_word_vectors(docs.where("NOT te"), **options).transform(docs)
+    logistic = classify.fit_logistic(placed.where("NOT te"), "vector", "label")
+    by_vectors = classify.predictions(logistic, placed.where("te"), "label")
+    return (bayes.accuracy(by_words, "label").withColumn("model", F.lit("naive_bayes"))
+            .unionByName(bayes.accuracy(by_vectors, "label")
+                         .withColumn("model", F.lit("vectors_logistic"))))
+
+
+def unknown_report(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
+    """Unknown tokens with counts and documents, and their totals, of tagged reviews."""
+    docs = _numbered(files.read_jsonl(spark, source))
+    index = vocab.unknown_index(docs, "doc_id", "ma")
+    counts = docs.select(F.explode("ma").alias("t")).groupBy(
+        F.col("t.lex").alias("lex"), F.col("t.pos").alias("pos")).agg(F.count("*").alias("n"))
+    return vocab.unknown_words(index), vocab.unknown_totals(counts)
