@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.tokens import term_lex
+from reviewloom.operators.ordering import top_n
 
 
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", tries: int = 10,
@@ -34,15 +35,22 @@ def silhouette(df: DataFrame, features: str = "features", cosine: bool = False)
 def center_words(model: KMeansModel, vocab: DataFrame, n: int = 10) -> DataFrame:
     """Heaviest words of every centre without their tags, (cluster, rank, word).
 
-    Centres are k rows of vocabulary width; each is cut to n entries here.
+    Centres are k rows of vocabulary width.
     """
-    rows = []
-    for cluster, center in enumerate(model.clusterCenters()):
-        order = sorted(range(len(center)), key=lambda i: (-center[i], i))[:n]
-        rows += [(cluster, r, i) for r, i in enumerate(order, 1)]
-    at = vocab.sparkSession.createDataFrame(rows, "cluster int, rank int, idx long")
-    return (F.broadcast(at).join(vocab.select("term", "idx"), "idx")
-            .select("cluster", "rank", term_lex("term").alias("word")))
+    centers = vocab.sparkSession.createDataFrame(
+        [(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())],
+        "cluster int, center array<double>")
+    return heaviest(centers, "cluster", "center", n).join(vocab.select("term", "idx"), "idx").select(
+        "cluster", "rank", term_lex("term").alias("word"))
+
+
+def heaviest(rows: DataFrame, key: str, values: str, n: int) -> DataFrame:
+    """Places of the n largest entries of an array per key, (key, rank, idx, weight).
+
+    Equal entries go by place.
+    """
+    entries = rows.select(key, F.posexplode(values).alias("idx", "weight"))
+    return top_n(entries, key, [F.col("weight").desc(), F.col("idx")], n)
 
 
 def cluster_sizes(clustered: DataFrame, category: str) -> DataFrame:

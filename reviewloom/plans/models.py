@@ -26,10 +26,11 @@ from reviewloom.plans.reviews import labelled
 from reviewloom.plans.weighting import rated_tf
 from reviewloom.runtime import scratch_path, spread
 
-FEATURES = 5000
+# Usual parameters of the models.
+FEATURES = vocab.MAX_WORDS
 TOPICS = 5
-SIZE = 50
-EPOCHS = 1
+SIZE = 100
+EPOCHS = 10
 
 
 def words_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +72,7 @@ def app_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def app_clusters(spark: SparkSession, sf: str) -> tuple[KMeansModel, DataFrame, DataFrame]:
     rows, words = app_vectors(spark, sf)
     k = table(spark, sf, "documents").select("lang").distinct().count()
-    model = clusters.fit_kmeans(rows, k, tries=2, max_iter=20)
+    model = clusters.fit_kmeans(rows, k, tries=10, max_iter=300)
     return model, model.transform(rows), words
 
 
@@ -92,7 +93,7 @@ def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("kmeans_vectors")
 def kmeans_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = vector_rows(spark, sf)
-    model = clusters.fit_kmeans(rows, 10, tries=2, cosine=True, max_iter=50)
+    model = clusters.fit_kmeans(rows, 10, tries=20, cosine=True, max_iter=300)
     clustered = model.transform(rows)
     score = clusters.silhouette(clustered, cosine=True)
     return clustered.select("vec_id", "cluster", F.lit(round(score, 6)).alias("silhouette"))
@@ -157,7 +158,7 @@ def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("stacked_vectors")
 def stacked_vectors(spark: SparkSession, sf: str) -> DataFrame:
     _, docs, rows = embedded(spark, sf)
-    counts, lda = topics.fit_topics(docs, k=TOPICS, max_features=FEATURES, iterations=10)
+    counts, lda = topics.fit_topics(docs, k=TOPICS, max_features=FEATURES)
     stacked = features.stack(topics.distribution(counts, lda, rows), "vector", "topics")
     return stacked.select("doc_id", vector_to_array("stacked", "float32").alias("vector"))
 
