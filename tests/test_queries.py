@@ -75,8 +75,8 @@ def test_topics(spark, duck):
 
 def test_embeddings(spark, duck):
     found = rows(spark, "doc_vectors")
-    assert len(found) == n_docs(duck) and all(len(r["vector"]) == 50 for r in found)
-    assert all(len(r["vector"]) == 55 for r in rows(spark, "stacked_vectors"))
+    assert len(found) == n_docs(duck) and all(len(r["vector"]) == 100 for r in found)
+    assert all(len(r["vector"]) == 105 for r in rows(spark, "stacked_vectors"))
     near = rows(spark, "doc_query_topk")
     assert len(near) == 20
     assert [r["cosine"] for r in near] == sorted((r["cosine"] for r in near), reverse=True)
@@ -117,9 +117,24 @@ def test_forest_matches_kruskal(spark):
     assert got == want
 
 
+def test_properties_notice_shuffled_predictions(spark):
+    """The property queries would be false for predictions that belong to other rows."""
+    from pyspark.sql import functions as F
+
+    from reviewloom.operators import clusters
+    from reviewloom.plans import checks, models
+    rows_ = models.vector_rows(spark, SMALL)
+    model = clusters.fit_kmeans(rows_, 10, tries=2)
+    shifted = model.transform(rows_).withColumn("cluster", (F.col("cluster") + 1) % 10)
+    assert not any(r["nearest"] for r in checks.nearest_centers(
+        shifted, model.clusterCenters()).collect())
+    wrong = spark.createDataFrame([(1, 0), (1, 0), (0, 1)], "y int, pred int")
+    assert not checks.beats_majority(wrong, "y").first()[0]
+
+
 def test_every_query_is_checked_here():
     by_rows = {"sample_one", "kmeans_docs", "cluster_summary", "kmeans_vectors", "pca_2d",
                "logreg_vectors", "topic_terms", "topic_assign", "topic_sizes",
                "topic_query_rate", "doc_vectors", "stacked_vectors", "doc_query_topk",
-               "word_neighbours", "svm_predict", "cv_grid", "model_compare", "mst_edges"}
+               "word_neighbours", "svm_predict", "cv_grid", "model_compare"}
     assert set(QUERIES) == set(SQL) | by_rows
