@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import query, table
-from reviewloom.runtime import HOT_SHARE, durable, salted_join
+from reviewloom.runtime import durable, hot_keys, salted_join
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -70,10 +70,8 @@ def exact_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", sa
         F.count("*").alias("texts"), F.max("size").alias("size"), F.max("rank").alias("rank")))
 
     slim = rows.select("row_id", "digest")
-    total = docs.count()
     single = per_digest.where("texts = 1").drop("texts")
-    hot = single.where(F.col("size") * HOT_SHARE > total).select("digest")
-    out = salted_join(slim, single, "digest", hot, "row_id")
+    out = salted_join(slim, single, "digest", hot_keys(single, "digest", "size"), "row_id")
     shared = per_digest.where("texts > 1").select("digest")
     if not shared.isEmpty():
         # A digest of several texts: these rows are told apart by their content.

@@ -173,8 +173,8 @@ u1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u0),
 u2 AS (SELECT page_id, translate(h, '{UPPER}', '{LOWER}') AS host,
        regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM u1),
 u3 AS (SELECT *, {_rule_case(1)} AS rule, {_rule_case(0)} AS ruled,
-       list_filter(string_split(path, '/'), x -> x <> '') AS l FROM u2),
-u4 AS (SELECT *, list_transform(l[1:{DEPTH}], x -> CASE WHEN regexp_matches(x, '{HASH}') THEN '{{x}}'
+       list_filter(string_split(path, '/'), lambda x: x <> '') AS l FROM u2),
+u4 AS (SELECT *, list_transform(l[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '{HASH}') THEN '{{x}}'
        ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS s FROM u3),
 u5 AS (SELECT *, list_resize(CASE WHEN len(l) > {DEPTH} THEN list_append(s[1:{DEPTH - 1}], '**') ELSE s END,
        {DEPTH}, '') AS parts FROM u4),
