@@ -22,13 +22,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import ngram_hashes, query, table, word_hashes
+from reviewloom.llm.common import ngram_hashes, query, slices, table, word_hashes
+from reviewloom.runtime import durable
 
 WORDS = 3
 WINDOW = 4
@@ -129,35 +131,39 @@ class Index:
             slack = max(4, len(own) // 2)
             best, end = (0, 0, 0), -1
             for s in sorted(starts):
-                if s + slack <= end:
+                # A copy that starts here lies inside the part aligned before.
+                if s + len(own) + slack <= end:
                     continue
                 low, end = max(0, s - slack), min(len(words), s + len(own) + 2 * slack)
                 score, a, b = align(own, words[low:end])
                 if score > best[0]:
                     best = (score, low + a, low + b)
+                if score == MATCH * len(own):
+                    break
             if leaked(best[0], len(own)):
                 found.append((item, *best))
         return found
 
 
-def _blocks(items: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, np.ndarray]]]:
-    """Items cut into blocks of bounded number and length."""
-    out: list[list] = [[]]
+def _blocks(items: Iterable[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Items cut into blocks of bounded number and length; one block is held at a time."""
+    block: list = []
     size = 0
     for item in items:
-        if out[-1] and (len(out[-1]) >= BLOCK_ITEMS or size + len(item[1]) > BLOCK_WORDS):
-            out.append([])
-            size = 0
-        out[-1].append(item)
+        if block and (len(block) >= BLOCK_ITEMS or size + len(item[1]) > BLOCK_WORDS):
+            yield block
+            block, size = [], 0
+        block.append(item)
         size += len(item[1])
-    return [b for b in out if b]
+    if block:
+        yield block
 
 
 def _counts(texts: DataFrame, grams: np.ndarray, sizes: list[int]) -> dict[int, int]:
     """Documents of the corpus that hold each of these n-grams."""
     def run(batches):
         total = np.zeros(len(grams), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 words = word_hashes(tokens(text))
                 for n in sizes:
@@ -187,7 +193,7 @@ def _block_leaks(texts: DataFrame, items: list[tuple[int, np.ndarray]], id_type:
 
     def run(batches):
         index = Index(items, seeds, WORDS)
-        for batch in batches:
+        for batch in slices(batches):
             docs, found = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = index.leaks(text)
@@ -208,17 +214,20 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and leaked item, with the share of the item's best score and the words covered."""
     texts = docs.select("doc_id", "text")
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    # Items come to the driver block by block; only hashes of their words are kept.
-    own = [(r["item_id"], word_hashes(tokens(r["text"]))) for r in
-           items.select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator()]
-    out = None
-    for block in _blocks([x for x in own if len(x[1])]):
-        part = _block_leaks(texts, block, id_type)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    # Items come to the driver row by row; only the word hashes of one block are kept.
+    rows = items.select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator()
+    own = ((r["item_id"], word_hashes(tokens(r["text"]))) for r in rows)
+    done, last = [], None
+    for block in _blocks(x for x in own if len(x[1])):
+        if last is not None:
+            done.append(durable(last))
+        last = _block_leaks(texts, block, id_type)
+    if last is None:
         return docs.sparkSession.createDataFrame(
             [], f"doc_id {id_type}, item_id long, share double, first_word int, end_word int")
-    return out
+    for part in done:
+        last = last.unionByName(part)
+    return last
 
 
 @query("op10_decontamination")
