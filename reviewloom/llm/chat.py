@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import query, table
+from reviewloom.llm.common import query, slices, table
 from reviewloom.operators.ordering import group_index
 from reviewloom.runtime import durable
 
@@ -83,7 +83,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     quote = pa.struct([("level", pa.int32()), ("h", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [parse(x) for x in batch.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array([f[0] for f in found], pa.string()),

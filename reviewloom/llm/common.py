@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+LIBC = ctypes.CDLL(None)
+
 # A side of one long per row is broadcast up to this many rows (about 16 MB).
 ID_BROADCAST_ROWS = 1_000_000
 
@@ -49,6 +54,22 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame, n_ids: int) -> DataFrame:
     return df.join(wanted, key, "left_semi")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in short pieces, so that a task holds few texts as Python objects at a time.
+
+    Python workers live on for later stages, so at the end of a task the memory
+    it has freed goes back to the system.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 # Odd multipliers that mix the hashes of neighbouring words.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                  0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB],

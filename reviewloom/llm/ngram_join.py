@@ -9,9 +9,10 @@ joined first and stand as one from there on. Then, by size of the set:
   link of the group follows from these, so no pairs are made.
 * Heavy sets, and light sets near enough in size to meet one, are put on
   inverted lists of their rarest n-grams (a prefix that every linked pair must
-  meet in). The lists are scanned in blocks; an exact bound from parity bitmaps
-  drops most pairs inside the scan, and pairs already known to be joined are
-  left out. What remains is verified on the whole sets.
+  meet in). The lists are scanned in blocks; an exact bound from short parity
+  bitmaps drops most pairs inside the scan, one from bitmaps as wide as the sets
+  nearly all others, and pairs already known to be joined are left out. What
+  remains is verified on the whole sets.
 
 The boundary between light and heavy is the size at which enumerating costs
 more than scanning, from the histogram of set sizes.
@@ -28,7 +29,7 @@ the cost alone, never the result. N-grams are told apart by 64-bit hashes.
 Defined results: texts that are null, empty or blank have an empty set and are
 linked with nothing; texts of fewer words than n have one n-gram, the whole
 sequence; repeated rows of one id count as one document; a null id is not
-joined with anything; an empty table gives an empty result; other columns are
+joined with anything; ids are taken to tell texts apart; an empty table gives an empty result; other columns are
 not looked at.
 """
 
@@ -40,22 +41,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import ngram_hashes, only_ids, query, table, word_hashes
+from reviewloom.llm.common import ngram_hashes, only_ids, query, slices, table, word_hashes
 from reviewloom.llm.components import components
 from reviewloom.runtime import durable
 
-# What one key of a light set costs against one scanned pair of a list, and how
-# many other sets a list is expected to hold.
-KEY_COST, PAIR_COST, LIST_LENGTH = 1.0, 1.0, 4.0
+# What an entry of an inverted list costs (two shuffles, a join, its scan) against
+# one key of a light set (one shuffle).
+KEY_COST, ENTRY_COST = 1.0, 8.0
 LIGHT_MOST = 40
 
 SAMPLE = 16
 FREQUENT_IN_SAMPLE = 4
 FREQUENT_MOST = 50_000
 
+COUNTED_AT_ONCE = 1_000_000
+
 BLOCK = 512
 BANDS, BAND_ROWS = 6, 3
 BITMAP_BYTES = 128
@@ -107,8 +110,7 @@ def boundary_by_cost(sizes: dict[int, int], how: Jaccard) -> int:
     """Largest size of a light set: the cheapest over all boundaries up to LIGHT_MOST."""
     def cost(b: int) -> float:
         light = sum(c * KEY_COST * how.subsets(n, b) for n, c in sizes.items() if n <= b)
-        heavy = sum(c * how.prefix(n) * (KEY_COST + PAIR_COST * LIST_LENGTH)
-                    for n, c in sizes.items() if n >= how.smallest(b + 1))
+        heavy = sum(c * ENTRY_COST * how.prefix(n) for n, c in sizes.items() if n >= how.smallest(b + 1))
         return light + heavy
     return min(range(LIGHT_MOST + 1), key=lambda b: (cost(b), -b))
 
@@ -120,7 +122,7 @@ def _shuffled(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def signature(h: np.ndarray, how: Jaccard, frequent: np.ndarray, count: np.ndarray) -> tuple:
-    """Digest of the set, prefix (rarest first), minimum-hash bands and parity bitmap."""
+    """Digest of the set, prefix (rarest first), minimum-hash bands, short and wide parity bitmap."""
     n = len(h)
     at = np.searchsorted(frequent, h)
     at[at == len(frequent)] = 0
@@ -129,19 +131,39 @@ def signature(h: np.ndarray, how: Jaccard, frequent: np.ndarray, count: np.ndarr
     prefix = h[order[:how.prefix(n)]]
     low = np.array([_shuffled(h, k).min() for k in range(BANDS * BAND_ROWS)], np.uint64)
     bands = [int(ngram_hashes(low[b * BAND_ROWS:(b + 1) * BAND_ROWS], BAND_ROWS)[0]) for b in range(BANDS)]
-    bits = np.bincount((h % np.uint64(BITMAP_BYTES * 8)).astype(np.int64), minlength=BITMAP_BYTES * 8) & 1
+    wide = parities(h)
     digest = np.array([h.sum(dtype=np.uint64), _shuffled(h, 99).sum(dtype=np.uint64)], np.uint64).tobytes()
-    return digest, prefix.view(np.int64), np.array(bands, np.uint64).view(np.int64), np.packbits(bits).tobytes()
+    return digest, prefix.view(np.int64), np.array(bands, np.uint64).view(np.int64), folded(
+        wide, BITMAP_BYTES).tobytes(), wide.tobytes() if len(wide) > BITMAP_BYTES else b""
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Packed parities of the hashes per place, on at least as many places as there are hashes."""
+    places = max(BITMAP_BYTES * 8, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h % np.uint64(places)).astype(np.int64), minlength=places).astype(np.uint8) & 1)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The same on fewer places."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def _frequent(texts: DataFrame, how: Jaccard) -> tuple[np.ndarray, np.ndarray]:
     """N-grams that several documents of a sample share, with their counts; a list of bounded length."""
+    def counted(seen):
+        h, n = np.unique(np.concatenate(seen), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
+                                          names=["h", "n"])
+
     def run(batches):
-        for batch in batches:
-            seen = [set_of(t, how.words) for t in batch.column(0).to_pylist()]
-            h, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
-                                             names=["h", "n"])
+        seen = []
+        for batch in slices(batches):
+            seen += [set_of(t, how.words) for t in batch.column(0).to_pylist()]
+            if sum(map(len, seen)) > COUNTED_AT_ONCE:
+                yield counted(seen)
+                seen = []
+        if seen:
+            yield counted(seen)
 
     part = texts.where(F.pmod(F.xxhash64("row_id"), F.lit(SAMPLE)) == 0).select("text")
     top = (part.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -152,30 +174,31 @@ def _frequent(texts: DataFrame, how: Jaccard) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(texts: DataFrame, how: Jaccard, id_type: str) -> DataFrame:
-    """row_id, n, digest, prefix, bands, bitmap of every document."""
+    """row_id, n, digest, prefix, bands, bitmap and (if it is longer) wide of every document."""
     frequent, count = _frequent(texts, how)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 h = set_of(t, how.words)
-                out.append((len(h), *(signature(h, how, frequent, count) if len(h) else (b"", [], [], b""))))
-            n, digest, prefix, bands, bitmap = zip(*out, strict=True) if out else ([],) * 5
+                out.append((len(h), *(signature(h, how, frequent, count) if len(h) else (b"", [], [], b"", b""))))
+            n, digest, prefix, bands, bitmap, wide = zip(*out, strict=True) if out else ([],) * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                  pa.array(prefix, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())),
-                 pa.array(bitmap, pa.binary())],
-                names=["row_id", "n", "digest", "prefix", "bands", "bitmap"])
+                 pa.array(bitmap, pa.binary()), pa.array(wide, pa.binary())],
+                names=["row_id", "n", "digest", "prefix", "bands", "bitmap", "wide"])
 
     return texts.mapInArrow(
-        run, f"row_id {id_type}, n long, digest binary, prefix array<long>, bands array<long>, bitmap binary")
+        run, f"row_id {id_type}, n long, digest binary, prefix array<long>, bands array<long>, "
+             "bitmap binary, wide binary")
 
 
 def _sets(texts: DataFrame, how: Jaccard, id_type: str) -> DataFrame:
     """row_id and the whole set, as the bytes of its sorted hashes."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [set_of(t, how.words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row_id", "h"])
 
@@ -191,7 +214,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, how: Jaccard, id_type: str) ->
               .select("a", "b", "ha", "hb"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -209,7 +232,7 @@ def _light_links(texts: DataFrame, light: DataFrame, boundary: int, how: Jaccard
     some = _sets(only_ids(texts, "row_id", light, n_light), how, id_type)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, keys = [], [], []
             for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(h, np.uint64)
@@ -234,6 +257,42 @@ def _light_links(texts: DataFrame, light: DataFrame, boundary: int, how: Jaccard
             .select(F.col("row_id").alias("a"), F.col("first.row_id").alias("b")).distinct())
 
 
+def _id_arrow(id_type: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
+
+
+def _possible(n: np.ndarray, m: int, bits: np.ndarray, own: np.ndarray, how: Jaccard) -> np.ndarray:
+    """Which sets of sizes `n` may be linked to one of size `m`, by sizes and parity bitmaps.
+
+    Sets that differ in d hashes differ in at most d parities.
+    """
+    differ = np.bitwise_count(bits ^ own).sum(axis=1)
+    total = n + m
+    shared = -(-how.percent * total // (100 + how.percent))
+    return (shared <= np.minimum(n, m)) & (differ <= total - 2 * shared)
+
+
+def _bounded_pairs(pairs: DataFrame, sets: DataFrame, how: Jaccard, id_type: str) -> DataFrame:
+    """The pairs (a, b) that pass the bounds on bitmaps as wide as the smaller set's."""
+    bits = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bitmap"))
+    facts = sets.select("row_id", "n", bits.alias("bits"))
+    joined = (pairs.join(facts.toDF("a", "na", "bits_a"), "a").join(facts.toDF("b", "nb", "bits_b"), "b")
+              .select("a", "b", "na", "nb", "bits_a", "bits_b"))
+
+    def run(batches):
+        for batch in slices(batches):
+            good = []
+            for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(p), len(q))
+                bits = folded(p, size).view(np.uint64)[None, :]
+                good.append(bool(_possible(np.array([na]), nb, bits, folded(q, size).view(np.uint64), how)[0]))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+    return joined.mapInArrow(run, f"a {id_type}, b {id_type}")
+
+
 def _band_pairs(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of a document and the first one of a band it shares."""
     keys = sets.select("row_id", F.posexplode("bands").alias("band", "k"))
@@ -242,58 +301,66 @@ def _band_pairs(sets: DataFrame) -> DataFrame:
             .select(F.col("row_id").alias("a"), "b").distinct())
 
 
-def _list_pairs(sets: DataFrame, joined: DataFrame, how: Jaccard, id_type: str) -> DataFrame:
-    """Pairs of documents not joined yet that share a prefix n-gram and pass the bounds."""
-    entries = sets.select("row_id", F.explode("prefix").alias("k"))
+def _list_members(sets: DataFrame, joined: DataFrame, how: Jaccard) -> DataFrame:
+    """Members of the inverted lists that some pair may come from, by pair of blocks.
+
+    A list of several blocks is scanned block against block: each member goes
+    to every pair of blocks that holds its own.
+    """
+    entries = sets.select("row_id", F.explode("prefix").alias("k")).repartition("k")
     lists = (entries.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
              .withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")))
-    # A list of several blocks is scanned block against block: each member goes
-    # to every pair of blocks that holds its own.
     own = F.pmod(F.xxhash64("row_id", "k"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = (entries.join(lists, "k").withColumn("own", own).withColumn("other", other)
                .select("row_id", "k", "own", F.least("own", "other").alias("low"),
                        F.greatest("own", "other").alias("high")))
-    facts = sets.select("row_id", "n", "bitmap").join(joined, "row_id", "left").select(
-        "row_id", "n", "bitmap", F.coalesce("component", "row_id").alias("component"))
-    full = members.join(facts, "row_id")
+    facts = sets.select("row_id", "n").join(joined, "row_id", "left").select(
+        "row_id", "n", F.coalesce("component", "row_id").alias("component"))
+    # Nothing is left to find among members of one component, nor between two of unlike sizes.
+    group = Window.partitionBy("k", "low", "high")
+    return (members.join(facts, "row_id")
+            .withColumn("one", F.min("component").over(group) == F.max("component").over(group))
+            .withColumn("two", F.count("*").over(group) == 2)
+            .withColumn("apart", F.max("n").over(group) * how.percent > F.min("n").over(group) * 100)
+            .where("NOT one AND NOT (two AND apart)").drop("one", "two", "apart"))
+
+
+def _list_pairs(sets: DataFrame, joined: DataFrame, how: Jaccard, id_type: str) -> DataFrame:
+    """Pairs of documents not joined yet that share a prefix n-gram and pass the bounds."""
+    full = _list_members(sets, joined, how).join(sets.select("row_id", "bitmap"), "row_id")
+    id_arrow = _id_arrow(id_type)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
-            ids = batch.column(0).to_pylist()
-            for k, rows in enumerate(batch.column(1).to_pylist()):
-                own = np.array([r["own"] for r in rows])
-                member = np.array([r["id"] for r in rows], dtype=object)
-                n = np.array([r["n"] for r in rows], np.int64)
-                comp = np.array([r["component"] for r in rows], dtype=object)
-                bits = np.frombuffer(b"".join(r["bitmap"] for r in rows), np.uint64).reshape(len(rows), -1)
+            lists, members = batch.column(1), batch.column(1).flatten()
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            owns, ids, sizes, comps = (members.field(c).to_numpy(zero_copy_only=False)
+                                       for c in ("own", "id", "n", "component"))
+            bitmaps = members.field("bitmap")
+            for at, low, high in zip(batch.column(0).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                own, member, n, comp = owns[low:high], ids[low:high], sizes[low:high], comps[low:high]
+                bits = np.frombuffer(b"".join(bitmaps.slice(low, high - low).to_pylist()), np.uint64).reshape(
+                    len(n), -1)
                 order = np.argsort(n, kind="stable")
-                low, high = ids[k]["low"], ids[k]["high"]
-                for at, i in enumerate(order):
-                    rest = order[at + 1:]
+                for k, i in enumerate(order):
+                    rest = order[k + 1:]
                     rest = rest[(how.percent * n[rest] <= 100 * n[i]) & (comp[rest] != comp[i])]
-                    if low != high:
+                    if at["low"] != at["high"]:
                         rest = rest[own[rest] != own[i]]
                     if not len(rest):
                         continue
-                    # Sets that differ in d hashes differ in at most d parities.
-                    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
-                    total = n[rest] + n[i]
-                    shared = -(-how.percent * total // (100 + how.percent))
-                    for j in rest[differ <= total - 2 * shared]:
-                        x, y = sorted((member[i], member[j]))
+                    for j in rest[_possible(n[rest], n[i], bits[rest], bits[i], how)]:
+                        x, y = min(member[i], member[j]), max(member[i], member[j])
                         a.append(x)
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, id_arrow), pa.array(b, id_arrow)], names=["a", "b"])
 
-    id_arrow = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     # A group is one pair of blocks: at most 2 x BLOCK members, about.
     item = F.struct(F.col("row_id").alias("id"), "own", "n", "component", "bitmap")
-    blocks = (full.groupBy("k", "low", "high").agg(F.collect_list(item).alias("rows"),
-                                                  F.min("component").alias("c0"), F.max("component").alias("c1"))
-              # A block of one component has no pair left to find.
-              .where("c0 != c1").select(F.struct("low", "high").alias("at"), "rows"))
+    blocks = (full.groupBy("k", "low", "high").agg(F.collect_list(item).alias("rows"))
+              .select(F.struct("low", "high").alias("at"), "rows"))
     return blocks.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
@@ -307,7 +374,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, row_id: str =
     rows = durable(_signatures(texts, how, id_type))
 
     # Equal sets stand as one, the one of smallest id.
-    of_sets = F.first("prefix").alias("prefix"), F.first("bands").alias("bands"), F.first("bitmap").alias("bitmap")
+    of_sets = [F.first(c).alias(c) for c in ("prefix", "bands", "bitmap", "wide")]
     slim = rows.where("n > 0 AND row_id IS NOT NULL")
     first = slim.groupBy("n", "digest").agg(F.min("row_id").alias("row_id"))
     sets = durable(slim.join(first, ["n", "digest", "row_id"]).groupBy("row_id", "n", "digest").agg(*of_sets))
@@ -317,10 +384,10 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, row_id: str =
     boundary = boundary_by_cost(sizes, how)
     links = durable(_light_links(known, sets.where(F.col("n") <= boundary).select("row_id"), boundary, how, id_type))
     listed = sets.where(F.col("n") >= how.smallest(boundary + 1))
-    near = durable(_verified(_band_pairs(listed), known, how, id_type))
+    near = durable(_verified(durable(_bounded_pairs(_band_pairs(listed), sets, how, id_type)), known, how, id_type))
     links = links.unionByName(near)
     joined = components(links, id_type)
-    found = durable(_list_pairs(listed, joined, how, id_type))
+    found = durable(_bounded_pairs(_list_pairs(listed, joined, how, id_type), sets, how, id_type))
     joined = components(links.unionByName(_verified(found, known, how, id_type)), id_type)
 
     classes = (sets.join(joined, "row_id", "left")

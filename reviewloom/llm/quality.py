@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import crc_mod, query, table
+from reviewloom.llm.common import crc_mod, query, slices, table
 
 FIT_ROWS = 20_000
 PAIRS_PER_ROW = 4
@@ -95,7 +95,7 @@ def with_features(rows: DataFrame, keep: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "f"])
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t) for t in batch.column(1).to_pylist()]
             s = model.score(np.array(found)) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])

@@ -26,7 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reviewloom.llm.common import query, table
+from reviewloom.llm.common import query, slices, table
 
 # Keywords and expressions of the base kinds.
 ASSIGN_KEYWORDS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
@@ -155,7 +155,7 @@ def find_secrets(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
 
     def run(batches):
         auto = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 rows.append([{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in scan(t, auto)])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import crc_mod, query, table
+from reviewloom.llm.common import crc_mod, query, slices, table
 from reviewloom.runtime import durable
 
 FIT_ROWS = 20_000
@@ -65,7 +65,7 @@ class Lexicon:
     The first letter of a term has to be right.
     """
 
-    MEMORY = 500_000
+    MEMORY = 50_000
 
     def __init__(self, entries: list[str], fuzzy: bool = True):
         self.children: list[dict[str, int]] = [{}]
@@ -216,7 +216,7 @@ def _count_stems(sample: DataFrame, wanted: frozenset | None) -> DataFrame:
     """Texts per stem, added up inside each task."""
     def run(batches):
         n = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 found = _stems(text)
                 n.update(found if wanted is None else found & wanted)
@@ -251,7 +251,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     telling = frozenset(s for s, n in often.items() if n >= UNSURE_RATIO * chance[s])
 
     def lists(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [sorted(_stems(t) & telling) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["stems"])
 
@@ -321,7 +321,7 @@ def with_features(rows: DataFrame, lexicon: tuple[list[str], list[str]], keep: l
 
     def run(batches):
         tries = Lexicon(lexicon[0]), Lexicon(lexicon[1], fuzzy=False)
-        for batch in batches:
+        for batch in slices(batches):
             found = [features(t, tries) for t in batch.column(len(keep)).to_pylist()]
             columns = [pa.array([f[k] for f in found], pa.int32()) for k in range(len(FEATURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *columns], names=[*keep, *FEATURES])
