@@ -1,27 +1,31 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The n-grams of the test items are counted over all training texts. In every run
-of WINDOW neighbouring n-grams of an item the rarest one becomes a seed, so any
-copied run of WINDOW + n - 1 words holds a seed, however frequent the item is
-in the corpus, and stock phrases hardly ever are one. A text that holds seeds
-of an item is aligned with it around each group of seed hits; the local
-alignment tolerates replaced, left-out and added words. The item is leaked if
-the alignment reaches a share of the item's best score, or is as long as LONG
-words and nearly exact.
+"""Benchmark decontamination: n-gram seeds, lossless score bounds, Smith-Waterman alignment.
+
+The item is leaked if its best local alignment with the text reaches a share of
+the item's best score, or is as long as LONG words and nearly exact; replaced,
+left-out and added words are tolerated. No such alignment is lost on the way to
+it. One with M matched words in R runs has R - 1 errors at least, so its score
+is at most M + P + 1, where P = M - R counts the matched neighbours. Where the
+score is more than the item's words and one, the text holds two neighbours of
+the item, and all its 2-grams are seeds, however frequent they are. Items that
+reach a sum of M + P + 1 over the whole text are looked for in it: the stretches
+of the text whose words and neighbours can add up to the score are aligned. Of
+very long items (89 words) the single words are the seeds.
+
+Items of up to SHORT words reach the share by two or three stock words, so they
+also have to share a run of WORDS words with the text.
 
 The seed index is made of blocks of items, of bounded size each, which go to
 the tasks one block at a time; a larger benchmark makes more blocks and more
 passes, never a larger broadcast. Texts are not shuffled.
 
 Defined results: null and empty texts and items leak nothing; items of fewer
-words than n are looked for as a whole; repeated rows and items are reported
+words than WORDS are looked for as a whole; repeated rows and items are reported
 one by one; empty tables give an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +37,8 @@ from reviewloom.llm.common import ngram_hashes, query, slices, table, word_hashe
 from reviewloom.runtime import durable
 
 WORDS = 3
-WINDOW = 4
+SHORT = 10
+PART = 1 << 15
 BLOCK_ITEMS = 5_000
 BLOCK_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -48,15 +53,42 @@ def tokens(text: str | None) -> list[bytes]:
     return TOKEN.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def grams_of(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams; a shorter item has one, of all its words."""
-    return ngram_hashes(words, min(n, len(words))) if len(words) else np.zeros(0, np.uint64)
+def seed_words(item_words: int) -> int:
+    """Length of the runs of words of which a leaked text holds at least one."""
+    if item_words <= SHORT:
+        return min(item_words, WORDS)
+    return 2 if least_score(item_words) > item_words + 1 else 1
+
+
+def least_score(item_words: int) -> float:
+    """Score from which an item is leaked."""
+    return min(SHARE * MATCH * item_words, LONG_SHARE * MATCH * LONG)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that start at `starts`, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted number in a sorted array, or the array's length if it isn't there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return np.where(known[at] == wanted, at, len(known))
 
 
-def seeds_of(grams: np.ndarray, count: np.ndarray, window: int) -> list[int]:
-    """Positions of the rarest n-gram of every window; of equals the first."""
-    last = max(1, len(grams) - window + 1)
-    return sorted({k + int(np.argmin(count[k:k + window])) for k in range(last)}) if len(grams) else []
+def _lowest_before(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of x[max(0, j - width):j + 1] for every j, from minima inside blocks."""
+    width += 1
+    big = np.iinfo(x.dtype).max
+    padded = np.concatenate([np.full(width - 1, big), x, np.full(-(len(x) + width - 1) % width, big)])
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:len(x)], ahead[width - 1:width - 1 + len(x)])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -90,59 +122,102 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def leaked(score: int, item_words: int) -> bool:
-    whole = MATCH * item_words
-    return score >= SHARE * whole or score >= LONG_SHARE * MATCH * LONG
+    return score >= least_score(item_words)
 
 
 class Index:
-    """Word hashes of items and the positions of seeds in them."""
+    """Words and seeds of a block of items."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], seeds: list[tuple[int, int, int]], n: int):
-        self.n = n
-        self.words = dict(enumerate(w for _, w in items))
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [i for i, _ in items]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, position, gram in seeds:
-            self.places[gram].append((item, position))
-        self.grams = np.array(sorted(self.places), np.uint64)
-        self.short = sorted({len(w) for _, w in items if 0 < len(w) < n})
-
-    def hits(self, words: np.ndarray) -> dict[int, list[int]]:
-        """Places in the text where an item would start, by item, from its seeds."""
-        out: dict[int, list[int]] = defaultdict(list)
-        for n in [self.n, *self.short]:
-            if n > len(words) or not len(self.grams):
+        self.words = [w for _, w in items]
+        self.sizes = np.array([len(w) for w in self.words])
+        self.least = np.array([least_score(m) for m in self.sizes])
+        # Errors cost one each, so no leaked text is spread wider.
+        self.span = self.sizes + (MATCH * self.sizes - self.least).astype(np.int64)
+        lengths = np.array([seed_words(m) for m in self.sizes])
+        self.pairs = (self.sizes > SHORT) & (lengths == 2)
+        # Seeds a leaked text holds at least.
+        self.need = np.where(self.pairs, np.ceil(self.least - self.sizes - 1),
+                             np.where(self.sizes > SHORT, np.ceil(self.least / MATCH), 1))
+        self.vocabulary, self.flat = np.unique(np.concatenate(self.words), return_inverse=True)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        # By length of the seeds: the seeds, the first entry of each, and the item of each entry.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(lengths).tolist():
+            some = np.flatnonzero(lengths == n)
+            grams = [ngram_hashes(self.words[k], n) for k in some]
+            seeds, place = np.unique(np.concatenate(grams), return_inverse=True)
+            holders = np.repeat(some, [len(g) for g in grams])
+            counts = np.bincount(place, minlength=len(seeds))
+            self.seeds[n] = seeds, np.concatenate([[0], np.cumsum(counts)]), holders[np.argsort(place, kind="stable")]
+
+    def candidates(self, words: np.ndarray, at: np.ndarray) -> Iterator[int]:
+        """Items the whole text has seeds and words enough for."""
+        here = np.zeros(len(self.vocabulary) + 1, bool)
+        here[at] = True
+        for n, (seeds, first, holders) in self.seeds.items():
+            found = np.unique(_places(seeds, ngram_hashes(words, n)))
+            found = found[found < len(seeds)]
+            if not len(found):
                 continue
-            grams = ngram_hashes(words, n)
-            at = np.searchsorted(self.grams, grams)
-            at[at == len(self.grams)] = 0
-            for p in np.flatnonzero(self.grams[at] == grams):
-                for item, position in self.places[int(grams[p])]:
-                    if min(self.n, len(self.words[item])) == n:
-                        out[item].append(int(p) - position)
+            shared = np.bincount(holders[_ranges(first[found], first[found + 1] - first[found])],
+                                 minlength=len(self.sizes))
+            some = np.flatnonzero(shared >= self.need)
+            if not len(some):
+                continue
+            sizes = self.sizes[some]
+            matched = np.add.reduceat(here[self.flat[_ranges(self.first[some], sizes)]].astype(np.int64),
+                                      np.cumsum(sizes) - sizes)
+            most = np.where(self.pairs[some], np.minimum(matched + shared[some] + 1, MATCH * matched),
+                            MATCH * matched)
+            yield from some[most >= self.least[some]].tolist()
+
+    def stretches(self, k: int, at: np.ndarray) -> list[tuple[int, int]]:
+        """Parts of the text that hold every alignment that leaks item k.
+
+        A word of the item counts as a match, any other as an error; of two
+        matched neighbours that are no neighbours in the item something is left
+        out between them.
+        """
+        span, least = int(self.span[k]), self.least[k]
+        mask = np.zeros(len(self.vocabulary) + 1, bool)
+        own = self.flat[self.first[k]:self.first[k] + self.sizes[k]].astype(np.int64)
+        mask[own] = True
+        inside = mask[at]
+        gain = np.where(inside, MATCH, MISMATCH)
+        wide = len(self.vocabulary) + 1
+        neighbours = np.unique(own[:-1] * wide + own[1:])
+        apart = _places(neighbours, at[:-1] * wide + at[1:]) == len(neighbours)
+        gain[1:] -= inside[1:] & inside[:-1] & apart
+        total = np.concatenate([[0], np.cumsum(gain)])
+        # One more, as an alignment doesn't pay for what lies before its first word.
+        ends = np.flatnonzero(total - _lowest_before(total, span) + 1 >= least)
+        out: list[tuple[int, int]] = []
+        for cut in np.split(ends, np.flatnonzero(np.diff(ends) >= span) + 1) if len(ends) else []:
+            low, high = max(0, int(cut[0]) - span), int(cut[-1])
+            # A long stretch is aligned in parts that overlap by the widest alignment.
+            part = max(PART, 4 * span)
+            while high - low > part:
+                out.append((low, low + part))
+                low += part - span
+            out.append((low, high))
         return out
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, score, first word, end) of every leaked item, at its best place."""
         words = word_hashes(tokens(text))
+        at = _places(self.vocabulary, words)
         found = []
-        for item, starts in sorted(self.hits(words).items()):
-            own = self.words[item]
-            slack = max(4, len(own) // 2)
-            best, end = (0, 0, 0), -1
-            for s in sorted(starts):
-                # A copy that starts here lies inside the part aligned before.
-                if s + len(own) + slack <= end:
-                    continue
-                low, end = max(0, s - slack), min(len(words), s + len(own) + 2 * slack)
-                score, a, b = align(own, words[low:end])
+        for k in self.candidates(words, at):
+            best = (0, 0, 0)
+            for low, high in self.stretches(k, at):
+                score, a, b = align(self.words[k], words[low:high])
                 if score > best[0]:
                     best = (score, low + a, low + b)
-                if score == MATCH * len(own):
-                    break
-            if leaked(best[0], len(own)):
-                found.append((item, *best))
-        return found
+            if leaked(best[0], len(self.words[k])):
+                found.append((k, *best))
+        return sorted(found)
 
 
 def _blocks(items: Iterable[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -159,40 +234,10 @@ def _blocks(items: Iterable[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int,
         yield block
 
 
-def _counts(texts: DataFrame, grams: np.ndarray, sizes: list[int]) -> dict[int, int]:
-    """Documents of the corpus that hold each of these n-grams."""
-    def run(batches):
-        total = np.zeros(len(grams), np.int64)
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                words = word_hashes(tokens(text))
-                for n in sizes:
-                    own = ngram_hashes(words, n)
-                    at = np.searchsorted(grams, own)
-                    at[at == len(grams)] = 0
-                    hit = np.unique(at[grams[at] == own])
-                    total[hit] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(total[some])],
-                                         names=["g", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    return {r["g"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counted.collect()}
-
-
 def _block_leaks(texts: DataFrame, items: list[tuple[int, np.ndarray]], id_type: str) -> DataFrame:
-    """Leaks of one block of items: two passes over the texts."""
-    grams = [grams_of(w, WORDS) for _, w in items]
-    wanted = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-    sizes = sorted({min(WORDS, len(w)) for _, w in items if len(w)})
-    count = _counts(texts, wanted, sizes)
-    seeds = []
-    for k, g in enumerate(grams):
-        n = np.array([count.get(int(x), 0) for x in g], np.int64)
-        seeds += [(k, p, int(g[p])) for p in seeds_of(g, n, WINDOW)]
-
+    """Leaks of one block of items: one pass over the texts."""
     def run(batches):
-        index = Index(items, seeds, WORDS)
+        index = Index(items)
         for batch in slices(batches):
             docs, found = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

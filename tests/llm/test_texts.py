@@ -244,6 +244,38 @@ def test_leaks(spark, monkeypatch):
     assert sum(r.doc_id == 2003 for r in got) == 4
 
 
+def test_leaks_of_edited_copies_equal_aligning_all(spark):
+    """Against aligning every text with every item; copies have words replaced, left out or added all over."""
+    rng = random.Random(4)
+    items = [(k, [f"i{rng.randrange(90)}" for _ in range(rng.choice([12, 16, 40, 59, 95]))]) for k in range(24)]
+    rows = []
+    for i in range(240):
+        copy, step = items[i % 24][1], 2 + i % 5
+        if i % 3 == 0:
+            copy = [f"new{q}" if q % step == step - 1 else w for q, w in enumerate(copy)]
+        elif i % 3 == 1:
+            copy = [x for q, w in enumerate(copy) for x in ([w, "added"] if q % step else [w])]
+        else:
+            copy = [w for w in copy if rng.randrange(step)]
+        words = [f"i{rng.randrange(90)}" for _ in range(rng.randrange(80))]
+        at = rng.randrange(len(words) + 1)
+        rows.append((i, " ".join(words[:at] + copy + words[at:])))
+    # Exact copies beside the edited ones.
+    rows += [(500 + k, " ".join(words)) for k, words in items]
+    hashed = {k: decontaminate.word_hashes([w.encode() for w in words]) for k, words in items}
+    want = {}
+    for i, text in rows:
+        own = decontaminate.word_hashes(decontaminate.tokens(text))
+        for k, words in hashed.items():
+            score, _, _ = decontaminate.align(words, own)
+            if decontaminate.leaked(score, len(words)):
+                want[i, k] = score / (2 * len(words))
+    table = spark.createDataFrame([(k, " ".join(words)) for k, words in items], "item_id long, text string")
+    got = decontaminate.find_leaks(docs_frame(spark, rows), table).collect()
+    assert {(r.doc_id, r.item_id): r.share for r in got} == want
+    assert sum(i < 500 for i, _ in want) > 100
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(docs_frame(spark, [(1, "a b c")]), none).count() == 0
