@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from reviewloom.llm import mixing, sharding
@@ -122,3 +123,43 @@ def test_mix_edge_cases(spark):
     assert sorted(r.mix_position for r in got) == [0, 1, 2]
     assert set(got[0].asDict()) == {"doc_id", "text", "source", "n", "slot", "mix_weight", "mix_phase", "mix_slot",
                                     "mix_position"}
+
+
+@pytest.mark.parametrize("rows", [
+    {"a": 4000, "b": 4000, "c": 4000},
+    {"hot": 6000, **{f"s{k}": 90 for k in range(59)}},
+    {"rare": 3, "a": 5000, "b": 4997}])
+def test_mix_follows_the_unrounded_weights_over_many_cycles(spark, rows):
+    weights = {"rare": 0.0001, "a": 0.5, "b": 0.4999} if "rare" in rows else {
+        "hot": 0.6, **{f"s{k}": 0.4 / 59 for k in range(59)}} if "hot" in rows else None
+    sources = [s for s, n in rows.items() for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+    got = mixing.mix(docs, weights=weights, block=1).orderBy("mix_slot").collect()
+    assert [r.mix_position for r in got] == list(range(len(sources)))
+    assert Counter(r.source for r in got) == Counter(sources)
+    first = [r for r in got if r.mix_phase == 0]
+    assert len(first) > 8000
+    taken = Counter()
+    weight = {r.source: r.mix_weight for r in got}
+    for t, r in enumerate(first, 1):
+        taken[r.source] += 1
+        assert all(abs(taken[s] - w * t) < 1 for s, w in weight.items())
+
+
+def test_slots_follow_the_ideal_mix_after_sources_have_run_out():
+    rng = np.random.default_rng(3)
+    weights, blocks = rng.random(30), rng.integers(1, 200, 30)
+    orders = [np.concatenate(list(mixing.slot_order(weights, blocks, piece))) for piece in (1 << 20, 500, 7)]
+    assert (orders[0] == orders[1]).all() and (orders[0] == orders[2]).all()
+    # The ideal mix, served in small steps of its own time.
+    served, share, at = 0.0, np.zeros(30), []
+    while share.sum() < blocks.sum() - 1e-9:
+        live = np.where(share < blocks - 1e-12, weights, 0)
+        left = np.min((blocks - share)[live > 0] / weights[live > 0])
+        step = min(left, (np.floor(served + 1e-9) + 1 - served) / live.sum())
+        share, served = np.minimum(blocks, share + live * step), served + live.sum() * step
+        if abs(served - round(served)) < 1e-9:
+            at.append((round(served), share.copy()))
+    assert len(at) == blocks.sum()
+    for t, want in at:
+        assert (abs(np.bincount(orders[0][:t], minlength=30) - want) < 1 + 1e-6).all()
