@@ -18,8 +18,7 @@ any size is numbered in many tasks.
 
 Defined results: a null source is a source of its own; a source without a given
 weight gets weight 0 and comes after all others; repeated rows are placed one
-by one; an empty table gives an empty result. More than MAX_SOURCES sources
-raise an error: group small ones first. With `cycle` given, weights are
+by one; an empty table gives an empty result. With `cycle` given, weights are
 rounded to multiples of 1/cycle, which needs a slot of the cycle per source.
 """
 
@@ -38,7 +37,6 @@ from reviewloom.llm.common import query, table
 from reviewloom.operators.ordering import global_index
 from reviewloom.runtime import bounded, durable, vocabulary_join
 
-MAX_SOURCES = 200
 BUCKETS = 1024
 BLOCK = 32
 
@@ -188,8 +186,6 @@ def mix(docs: DataFrame, source: str = "source", row_id: str = "doc_id", weights
     found = sources.select("_k", "_n", "_share").toArrow().sort_by("_k")
     sizes, share = found["_n"].to_numpy(), found["_share"].to_numpy()
     total = float(share.sum()) or 1.0
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: group small ones first")
     target = share
     if cycle is not None and (share > 0).any():
         if cycle < (share > 0).sum():

@@ -163,3 +163,15 @@ def test_slots_follow_the_ideal_mix_after_sources_have_run_out():
     assert len(at) == blocks.sum()
     for t, want in at:
         assert (abs(np.bincount(orders[0][:t], minlength=30) - want) < 1 + 1e-6).all()
+
+
+def test_mix_takes_any_number_of_sources(spark):
+    rows = [(i, "", f"s{i % 1500}") for i in range(3000)] + [(9000 + i, "", "hot") for i in range(2000)]
+    rows += [(None, None, None)]
+    got = mixing.mix(frame(spark, rows), block=2).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(5001))
+    assert Counter(r.source for r in got) == Counter(s for _, _, s in rows)
+    first = [r.source for r in got if r.mix_phase == 0]
+    weight = next(r.mix_weight for r in got if r.source == "hot")
+    assert abs(weight - 2000 ** 0.5 / (2000 ** 0.5 + 1500 * 2 ** 0.5 + 1)) < 1e-9
+    assert all(abs(first[:t].count("hot") / 2 - weight * t / 2) < 1 for t in range(2, len(first) + 1, 2))
