@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from reviewloom.llm.mixing import mix
 from reviewloom.llm.ngram_join import ngram_join
 from reviewloom.llm.sharding import shard_documents
 from reviewloom.llm.toxicity import toxicity
-from reviewloom.runtime import durable, shared_dir
+from reviewloom.runtime import durable, scratch_path, shared_dir
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 SHARDS = 16
@@ -32,6 +33,22 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
+def _with_stored_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents with the number and path of their file and their row in it, which tell the order they were written in.
+
+    A reader deals files out by size, so the order of the rows it gives tells nothing.
+    """
+    order = [F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long").alias("_file"),
+             F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        return docs.select("*", *order)
+    except AnalysisException:
+        # Not a stored table.
+        path = scratch_path(spark, "ordered")
+        docs.write.parquet(path)
+        return spark.read.parquet(path).select("*", *order)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
     judged = toxicity(docs, table(spark, sf_dir, "labels"))
@@ -53,13 +70,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: files and rows follow it."""
+    """All documents, in the order of the mix: files and rows follow it, and so do the slots of the shards."""
     return mix(docs).orderBy("mix_position").select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    return shard_documents(docs, SHARDS)
+    """The shard and slot of every document; slots of a shard follow the order in which the documents are stored."""
+    return shard_documents(_with_stored_order(spark, docs), SHARDS, order=["_file", "_path", "_row"])
 
 
 STAGES = [

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import query, table
+from reviewloom.operators.ordering import group_index
 
 PLACES = 16_384
 NODES = 64
@@ -114,12 +115,17 @@ def shard_rows(docs: DataFrame, keys: list[str], shards: int, load: float = 1.0,
             .drop("_place", "_arc", "_start", "_rank", "_low", "_high", "_first"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, load: float = 1.0) -> DataFrame:
-    """Slim row of every document with its shard, under the law that counts differ by one at most."""
+def shard_documents(docs: DataFrame, shards: int = 16, load: float = 1.0, order: list[str] | None = None) -> DataFrame:
+    """Slim row of every document with its shard, under the law that counts differ by one at most.
+
+    With `order`, columns of `docs` that leave no ties, the slots of a shard follow it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), *(order or []))
     placed = shard_rows(slim, ["doc_id", "text_crc32", "size"], shards, load)
+    if order:
+        placed = group_index(placed.drop("slot"), "shard", [F.col(c) for c in order], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 

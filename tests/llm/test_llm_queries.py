@@ -100,6 +100,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, kept[5].collect()))
 
 
+def test_the_mix_reaches_the_rows_of_the_pipeline(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    docs, mix = table(spark, SMALL, "documents"), corpus_pipeline.mix
+    sources = sorted({r.source for r in docs.select("source").collect()}, key=str)
+    slots = []
+    for weights in (None, {s: 1.0 + 9 * (k % 2) for k, s in enumerate(sources)}):
+        def weighted(rows, weights=weights):
+            return mix(rows, weights=weights)
+
+        monkeypatch.setattr(corpus_pipeline, "mix", weighted)
+        place = {r.doc_id: r.mix_position for r in weighted(docs).collect()}
+        shards = {}
+        for r in corpus_pipeline.run(spark, SMALL).orderBy("slot").collect():
+            shards.setdefault(r.shard, []).append((r.slot, r.doc_id))
+        for rows in shards.values():
+            assert [slot for slot, _ in rows] == list(range(len(rows)))
+            assert [place[i] for _, i in rows] == sorted(place[i] for _, i in rows)
+        slots.append({(s, *row) for s, rows in shards.items() for row in rows})
+    assert slots[0] != slots[1]
+    # Documents that aren't stored yet keep their order too.
+    rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
+    placed = corpus_pipeline.shard(spark, spark.createDataFrame(rows, docs.schema), SMALL)
+    by = {}
+    for r in placed.orderBy("slot").collect():
+        by.setdefault(r.shard, []).append(r.doc_id)
+    assert all(ids == sorted(ids, reverse=True) for ids in by.values())
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = table(spark, SMALL, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
