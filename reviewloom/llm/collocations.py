@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import query, slices, table
 from reviewloom.operators.ordering import top_n
-from reviewloom.runtime import bounded, durable, hot_keys, salted_join
+from reviewloom.runtime import bounded, durable, hot_keys, salted_join, spread
 
 LEAST_COUNT = 10
 KEEP = 2000
@@ -192,12 +192,15 @@ def _key(first: int, last: int) -> Column:
     return F.concat("lang", F.lit("\t"), F.array_join(words, " "))
 
 
-def _with_count(rows: DataFrame, part: Column, counts: DataFrame, name: str) -> DataFrame:
-    """Rows with the count of a part of their phrase, from a table (key, a). Parts of many phrases are split."""
-    rows = rows.withColumn("key", part)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
-    found = counts.select("key", F.col("a").alias(name))
-    return salted_join(rows, found, "key", hot_keys(sizes, "key", "n"), ["lang", "phrase"]).drop("key")
+def _with_counts(rows: DataFrame, parts: dict[str, Column], counts: DataFrame) -> DataFrame:
+    """Phrases with the counts of their parts, by name, from a table (key, a). Parts of many phrases are split."""
+    rows = durable(rows)
+    named = [F.struct(F.lit(name).alias("name"), part.alias("key")) for name, part in parts.items()]
+    parted = rows.select("lang", "phrase", "a", F.explode(F.array(*named)).alias("p")).select("lang", "phrase", "a", "p.*")
+    hot = hot_keys(durable(parted.groupBy("key").agg(F.count("*").alias("n"))), "key", "n")
+    found = salted_join(parted, counts.select("key", F.col("a").alias("n")), "key", hot, ["lang", "phrase", "name"])
+    return found.groupBy("lang", "phrase", "a").agg(
+        *[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -232,8 +235,7 @@ def _pairs(texts: DataFrame, words: DataFrame, least_count: int) -> DataFrame:
     frequent = _bitmap(words.select(F.xxhash64("key").alias("h")))
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
     rows = _counted(texts, _pair_counter(sent)).where(F.col("a") >= least_count)
-    rows = _with_count(rows, _key(1, 1), words, "l")
-    rows = _with_count(rows, _key(2, 2), words, "r")
+    rows = _with_counts(rows, {"l": _key(1, 1), "r": _key(2, 2)}, words)
     return durable(rows.withColumn("score", _score("a", "l", "r")).withColumn("key", _key(1, 2)))
 
 
@@ -247,9 +249,8 @@ def _triples(texts: DataFrame, pairs: DataFrame, words: DataFrame, least_count:
     maps = [_bitmap(frontier.where(c)) for c in ("starts", "ends", "reaches")]
     sent = texts.sparkSession.sparkContext.broadcast(maps)
     rows = _counted(texts, _triple_counter(sent)).where(F.col("a") >= least_count)
-    for name, part, counts in (("l1", _key(1, 1), words), ("r1", _key(2, 3), pairs),
-                               ("l2", _key(1, 2), pairs), ("r2", _key(3, 3), words)):
-        rows = _with_count(rows, part, counts, name)
+    parts = {"l1": _key(1, 1), "r1": _key(2, 3), "l2": _key(1, 2), "r2": _key(3, 3)}
+    rows = _with_counts(rows, parts, words.unionByName(pairs.select("key", "a")))
     rows = rows.withColumn("s1", _score("a", "l1", "r1")).withColumn("s2", _score("a", "l2", "r2"))
     late = F.col("s2") < F.col("s1")
     return durable(rows.select(
@@ -271,8 +272,9 @@ def _survivors(pairs: DataFrame, triples: DataFrame, drop_percent: int) -> DataF
 def collocations(docs: DataFrame, keep: int = KEEP, least_count: int = LEAST_COUNT, drop_percent: int = DROP_PERCENT,
                  lang: str = "lang", text: str = "text") -> DataFrame:
     """The first `keep` phrases of every language: lang, rank, phrase, a, l, r, n, score."""
-    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang"),
-                        F.col(text).cast("binary").alias("text")).where(F.length("text") > 0)
+    texts = spread(docs.select(lang, text)).select(
+        F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary").alias("lang"),
+        F.col(text).cast("binary").alias("text")).where(F.length("text") > 0)
     counted = _counted(texts, _count_words).where((F.col("a") >= least_count) | (F.col("phrase") == ""))
     counted = durable(counted.withColumn("key", F.concat("lang", F.lit("\t"), "phrase")))
     words = counted.where((F.col("phrase") != "") & (F.col("a") >= least_count)).select("key", "a")
