@@ -5,6 +5,9 @@ one of largest inner product, and a query (whose own extra component is 0) finds
 walk. The graph is grown by greedy searches: what a search for a vector expands on its way is proposed as its
 neighbours, and of the proposals those are kept that no closer kept one stands before, with a factor that lets some
 longer edges live. Edges go both ways as long as a node has room, else its neighbours are pruned again.
+
+Where lengths differ, the longest vectors answer most queries but lie far from all others, so few edges lead to them.
+A node then also keeps some edges to what is found by a search for it in the place of a query, pruned in the same way.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ DEGREE = 32
 BUILD_BEAM = 64
 FACTORS = (1.0, 1.2)
 BATCH = 256
+ASKED_EDGES = 12  # edges of a node that a search in the place of a query proposes, if lengths differ
 EXPAND = 4  # nodes of a beam that are expanded in one step
 
 
@@ -75,12 +79,17 @@ def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.n
     return nodes, near, steps
 
 
-def prune(points: np.ndarray, at: np.ndarray, proposed: np.ndarray, factor: float, degree: int) -> np.ndarray:
-    """Kept neighbours (-1: none) of the nodes `at`, from proposals (-1: none), repeated ones allowed."""
+def prune(points: np.ndarray, at: np.ndarray, proposed: np.ndarray, factor: float, degree: int,
+          heads: np.ndarray | None = None) -> np.ndarray:
+    """Kept neighbours (-1: none) of the nodes `at`, from proposals (-1: none), repeated ones allowed.
+
+    `heads` are the places from which to look at the proposals, those of the nodes if not given.
+    """
+    heads = points[at] if heads is None else heads
     proposed = np.sort(np.where(proposed == at[:, None], -1, proposed), axis=1)
     proposed[:, 1:][proposed[:, 1:] == proposed[:, :-1]] = -1
     vectors = points[proposed]
-    far = 2 - 2 * np.einsum("ij,ikj->ik", points[at], vectors)
+    far = 2 - 2 * np.einsum("ij,ikj->ik", heads, vectors)
     far = np.where(proposed >= 0, far, np.inf)
     order = np.argsort(far, axis=1, kind="stable")
     proposed, far = np.take_along_axis(proposed, order, 1), np.take_along_axis(far, order, 1)
@@ -125,11 +134,33 @@ def _add_back(points: np.ndarray, edges: np.ndarray, at: np.ndarray, factor: flo
             edges[nodes[some][full]] = prune(points, nodes[some][full], both[full], factor, degree)
 
 
+def _neighbours(points: np.ndarray, edges: np.ndarray, start: int, at: np.ndarray, beam: int, factor: float,
+                degree: int, heads: np.ndarray) -> np.ndarray:
+    """Neighbours of the nodes `at` among what searches from the places `heads` expand."""
+    _, _, steps = beam_search(points, edges, start, heads, beam, True)
+    proposed = np.concatenate([*steps, edges[at]], 1)
+    # Columns without a proposal go.
+    proposed = -np.sort(-proposed, axis=1)[:, :max(1, int((proposed >= 0).sum(1).max()))]
+    return prune(points, at, proposed, factor, degree, heads)
+
+
+def _distinct(nodes: np.ndarray) -> np.ndarray:
+    """Each row without repeated nodes, -1 at the end."""
+    nodes = -np.sort(-nodes, axis=1)
+    nodes[:, 1:][nodes[:, 1:] == nodes[:, :-1]] = -1
+    return -np.sort(-nodes, axis=1)
+
+
 def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, factors: tuple = FACTORS,
           seed: int = 7) -> tuple[np.ndarray, int]:
     """Edges (node x degree, -1: none) and the node where searches start, from lifted vectors."""
     n = len(points)
     start = int(np.argmax(points @ points.mean(0)))
+    asked = points.copy()
+    asked[:, -1] = 0
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    differ = bool((points[:, -1] > 1e-3).any())
+    own = degree - ASKED_EDGES if differ else degree
     edges = np.full((n, degree), -1, np.int32)
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[start], order[order != start]])
@@ -139,11 +170,10 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, fact
             # The first turn inserts no more nodes at once than the graph has.
             size = min(BATCH, n - done, done if turn == 0 else n)
             at = order[done:done + size]
-            _, _, steps = beam_search(points, edges, start, points[at], beam, True)
-            proposed = np.concatenate([*steps, edges[at]], 1)
-            # Columns without a proposal go.
-            proposed = -np.sort(-proposed, axis=1)[:, :max(1, int((proposed >= 0).sum(1).max()))]
-            edges[at] = prune(points, at, proposed, factor, degree)
+            kept = [_neighbours(points, edges, start, at, beam, factor, own, points[at])]
+            if differ:
+                kept.append(_neighbours(points, edges, start, at, beam, factor, ASKED_EDGES, asked[at]))
+            edges[at] = _distinct(np.concatenate(kept, 1))
             _add_back(points, edges, at, factor)
             done += size
     return edges, start

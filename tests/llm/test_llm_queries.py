@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
     assert set(queries.SQL) <= set(__spark_entry__.oracle_sql())
