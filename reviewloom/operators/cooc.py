@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
-from reviewloom.operators.ordering import number_head
+from reviewloom.operators.ordering import count_head
 from reviewloom.operators.vocab import document_frequency, token_rows
 from reviewloom.runtime import bounded, durable
 
@@ -26,7 +26,7 @@ def top_vocabulary(docs: DataFrame, max_features: int = 500, text: str = "text",
                    tokenizer: T.Tokenizer = T.words) -> DataFrame:
     """The terms found in most documents, (term, df, idx), idx by falling df from 0."""
     df = document_frequency(docs, text, tokenizer)
-    first = number_head(df, [F.col("df").desc(), F.col("term")], max_features, "idx")
+    first = count_head(df, "df", ["term"], max_features, "idx")
     return first.withColumn("idx", F.col("idx") - 1)
 
 

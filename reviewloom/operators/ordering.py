@@ -15,6 +15,9 @@ from reviewloom.runtime import durable, hot_keys, salted_join
 # Rows that every partition may send to the one task of a top-n.
 HEAD_ROWS = 1_000
 
+# Rows of a head that one task may number, if only rows that reach its last count are sent to it.
+NUMBERED_ROWS = 200_000
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
 
@@ -93,6 +96,35 @@ def number_head(df: DataFrame, order: list[Column], n: int, name: str = "rank")
     return head(df, order, n).withColumn(name, rank)
 
 
+def reaching(df: DataFrame, count: str, n: int) -> DataFrame:
+    """Rows whose `count`, a whole number, is at least the n-th largest: n rows and its ties.
+
+    The n-th largest is read off the numbers of rows per count. Different counts are few: k of them need a sum of at
+    least k^2 / 2. The plan of `df` is the same here and there, so its last shuffle is made once.
+    """
+    sizes = df.groupBy(F.col(count).alias("_c")).agg(F.count("*").alias("_n"))
+    down = Window.orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = sizes.withColumn("_upto", F.sum("_n").over(down)).where(F.col("_upto") >= n)
+    least = reached.agg(F.max("_c")).scalar()
+    # Fewer rows than n: all of them.
+    return df.where(F.coalesce(F.col(count) >= least, F.lit(True)))
+
+
+def count_head(df: DataFrame, count: str, ties: list[str], n: int, name: str = "rank") -> DataFrame:
+    """First n rows by `count`, largest first, then by `ties`, numbered from 1.
+
+    Only rows that reach the n-th largest count are sorted.
+    """
+    order = [F.col(count).desc(), *[F.col(c) for c in ties]]
+    rows = df.where(F.col(count).isNotNull())
+    if n > HEAD_ROWS:
+        rows = reaching(rows, count, n)
+    if n > NUMBERED_ROWS:
+        return number_head(rows, order, n, name)
+    at = F.row_number().over(Window.orderBy(*order))
+    return rows.withColumn(name, at.cast("bigint")).where(F.col(name) <= n)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
     """n random rows; every task keeps n of its own."""
     return df.orderBy(F.rand(seed)).limit(n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
-from reviewloom.operators.ordering import global_index, head, number_head
+from reviewloom.operators.ordering import count_head, global_index
 from reviewloom.runtime import bounded, hot_keys, salted_join, vocabulary_join
 
 # Fixed value: size of a dictionary unless another is asked for.
@@ -108,8 +108,8 @@ def indexed(counts: DataFrame, max_words: int | None = MAX_WORDS) -> DataFrame:
     order = [F.col("cnt").desc(), F.col("term")]
     if max_words is None:
         return global_index(counts.select("term", "cnt"), order, "idx")
-    first = number_head(counts.select("term", "cnt"), order, max_words, "idx")
-    return first.withColumn("idx", (F.col("idx") - 1).cast("bigint"))
+    first = count_head(counts.select("term", "cnt"), "cnt", ["term"], max_words, "idx")
+    return first.withColumn("idx", F.col("idx") - 1)
 
 
 def dictionary(counts: DataFrame, choose_pos: Sequence[str] | None = None, min_length: int = 1,
@@ -184,7 +184,7 @@ def document_frequency(docs: DataFrame, text: str = "text",
 
 def top_by_frequency(df: DataFrame, count: str, n: int) -> DataFrame:
     """The n terms with the largest count; ties go to the smaller term."""
-    return head(df, [F.col(count).desc(), F.col("term")], n)
+    return count_head(df, count, ["term"], n, "_rank").drop("_rank")
 
 
 def unknown_index(tagged: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -215,4 +215,4 @@ def unknown_totals(counts: DataFrame) -> DataFrame:
 def word_cloud(counts: DataFrame, n: int = 200) -> DataFrame:
     """Counts by lex over all tags from (term, cnt), the n largest."""
     lex = counts.groupBy(K.term_lex("term").alias("lex")).agg(F.sum("cnt").alias("cnt"))
-    return head(lex, [F.col("cnt").desc(), F.col("lex")], n)
+    return count_head(lex, "cnt", ["lex"], n, "_rank").drop("_rank")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from reviewloom.plans.registry import QUERIES, SQL, Query
 
-MODULES = ["reviews", "corpus", "weighting", "storage", "models", "checks"]
+MODULES = ["reviews", "corpus", "weighting", "storage", "models", "checks", "tuning"]
 
 
 def _load() -> None:

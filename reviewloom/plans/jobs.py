@@ -196,6 +196,13 @@ def rating_grid(spark: SparkSession, source: str, folds: int = 10,
         classify.grid_search(pipeline, grid, docs, folds=folds, fold_col="fold"), docs)
 
 
+def rating_search(spark: SparkSession, source: str, axes: grid.Axes = grid.Axes(), folds: int = 10) -> DataFrame:
+    """As `rating_grid` over whole axes: all combinations and folds are counted together instead of fitted."""
+    docs, _ = _indexed(_rated(spark, source))
+    docs = docs.withColumn("fold", fold_of("doc_id", folds))
+    return grid.grid_table(grid.fold_accuracy(docs, axes, folds))
+
+
 def review_topics(spark: SparkSession, source: str, target: str, k: int = 5,
                   threshold: float | None = None, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Write reviews with their topic; give the topics' words and a map without the unknown."""

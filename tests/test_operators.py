@@ -380,6 +380,23 @@ def test_long_head_cuts_ties_in_order(spark):
     assert sorted(r["term"] for r in got) == [f"t{i:05d}" for i in range(1500)]
 
 
+def test_count_heads_equal_sorting(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"t{k}", rng.choice([1, 1, 1, 2, 3, 500, k])) for k in range(400)]
+    df = spark.createDataFrame([*rows, ("none", None)], "term string, n long").repartition(6)
+    want = [t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    monkeypatch.setattr(ordering, "HEAD_ROWS", 5)
+    for limit in (10 ** 6, 50):
+        monkeypatch.setattr(ordering, "NUMBERED_ROWS", limit)
+        for n in (3, 60, 250, 399, 400, 1000):
+            got = ordering.count_head(df, "n", ["term"], n).orderBy("rank").collect()
+            assert [r["term"] for r in got] == want[:n]
+            assert [r["rank"] for r in got] == list(range(1, min(n, 400) + 1))
+    assert ordering.count_head(df.limit(0), "n", ["term"], 60).count() == 0
+    # What is sorted is what reaches the last count.
+    assert ordering.reaching(df, "n", 60).count() < 100
+
+
 def test_hot_key_is_split_by_document(spark):
     """A word that always stands first in its document still gets many pieces."""
     from reviewloom import runtime
