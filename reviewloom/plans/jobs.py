@@ -17,6 +17,7 @@ from reviewloom.operators import (
     clusters,
     cooc,
     features,
+    grid,
     tables,
     topics,
     vectors,

@@ -11,6 +11,7 @@ from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators import (
     bayes,
+    centers,
     classify,
     clusters,
     features,
@@ -93,12 +94,19 @@ def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("kmeans_vectors")
 def kmeans_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = vector_rows(spark, sf)
-    model = clusters.fit_kmeans(rows, 10, tries=20, cosine=True, max_iter=300)
+    model = centers.fit_tries(rows, 10, tries=20, cosine=True, max_iter=300)
     clustered = model.transform(rows)
     score = clusters.silhouette(clustered, cosine=True)
     return clustered.select("vec_id", "cluster", F.lit(round(score, 6)).alias("silhouette"))
 
 
+@query("kmeans_minibatch")
+def kmeans_minibatch(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by mini-batches of a twentieth of the rows."""
+    rows = vector_rows(spark, sf)
+    return centers.fit_minibatch(rows, 10, "vec_id").transform(rows).select("vec_id", "label", "cluster")
+
+
 @query("pca_2d")
 def pca_2d(spark: SparkSession, sf: str) -> DataFrame:
     out = clusters.project_2d(vector_rows(spark, sf))

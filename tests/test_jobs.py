@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reviewloom import schemas
 from reviewloom.functions import text as T
 from reviewloom.operators import bayes
+from reviewloom.operators.grid import Axes
 from reviewloom.plans import jobs
 from reviewloom.sources import files
 
@@ -119,6 +120,9 @@ def test_model_jobs_on_several_files(spark, many_files, tmp_path):
     assert svm and all(r["rating"] == r["pred"] for r in svm)
     grid = jobs.rating_grid(spark, many_files, 2, [1.0], [True], norm=["l2", None]).collect()
     assert len(grid) == 2 and all(r["accuracy"] == 1.0 for r in grid)
+    axes = Axes(max_features=(50,), ngrams=(1,), idf=("smooth",), norm=("l2", None), sublinear=(True,), alpha=(1.0,))
+    best = jobs.rating_search(spark, many_files, axes, 2).collect()
+    assert len(best) == 2 and all(r["accuracy"] == 1.0 for r in best) and sum(r["is_best"] for r in best) == 1
     words, flat = jobs.review_topics(spark, many_files, str(tmp_path / "topics"), 3, 0.4, 2)
     assert words.count() == 6 and 0 < flat.count() <= 599
     assert spark.read.json(str(tmp_path / "topics")).count() == 599
