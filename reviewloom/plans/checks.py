@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators import bayes, centers, classify, clusters, features, ordering, topics
+from reviewloom.operators import bayes, centers, classify, clusters, features, ordering, sgd, topics
 from reviewloom.plans import models
 from reviewloom.plans.registry import query, table
 from reviewloom.plans.weighting import bayes_model, rated_tf
@@ -206,6 +206,15 @@ def beats_majority(pred: DataFrame, label: str) -> DataFrame:
     return right.select((F.col("right") >= most.scalar()).alias("beats_majority"))
 
 
+@query("sgd_properties", "SELECT TRUE AS separates, TRUE AS beats_majority")
+def sgd_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the test documents, 95 % get their own one of four languages, more than by always naming the most frequent."""
+    train, test, width = models.language_vectors(spark, sf)
+    pred = sgd.fit_hinge(train, "features", "lang", width)[0].predict(test).persist()
+    right = bayes.accuracy(pred, "lang").select((F.col("accuracy") >= 0.95).alias("separates"))
+    return right.withColumn("beats_majority", F.lit(beats_majority(pred, "lang").first()[0]))
+
+
 @query("grid_properties", "SELECT TRUE AS best_is_largest, TRUE AS one_best")
 def grid_properties(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.cv_grid(spark, sf)

@@ -15,6 +15,7 @@ from reviewloom.operators import (
     classify,
     clusters,
     features,
+    sgd,
     topics,
     vectors,
     vocab,
@@ -210,6 +211,22 @@ def svm_predict(spark: SparkSession, sf: str) -> DataFrame:
     return classify.predictions(model, docs.where("te"), "doc_id", "label")
 
 
+def language_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    """TF-IDF vectors of training and test documents with their language, and the number of features."""
+    docs = words_of(spark, sf).withColumn("te", in_test())
+    vec = features.TfIdf(maxFeatures=20_000).fit(docs.where("NOT te"))
+    rows = vec.transform(docs).select("doc_id", "lang", "te", "features").persist()
+    return rows.where("NOT te"), rows.where("te"), len(vec.vocabulary)
+
+
+@query("sgd_languages")
+def sgd_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of the test documents by linear machines, one against the rest, trained by stochastic gradient."""
+    train, test, width = language_vectors(spark, sf)
+    model = sgd.fit_hinge(train, "features", "lang", width)[0]
+    return model.predict(test).select("doc_id", "lang", "pred")
+
+
 @query("cv_grid")
 def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
     docs = rated_words(spark, sf).withColumn("fold", fold_of("doc_id", 3))
