@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.operators import bayes, centers, classify, clusters, features, ordering, sgd, topics
+from reviewloom.operators import bayes, centers, classify, clusters, features, ordering, paragraphs, sgd, topics
 from reviewloom.plans import models
 from reviewloom.plans.registry import query, table
 from reviewloom.plans.weighting import bayes_model, rated_tf
@@ -215,6 +215,28 @@ def sgd_properties(spark: SparkSession, sf: str) -> DataFrame:
     return right.withColumn("beats_majority", F.lit(beats_majority(pred, "lang").first()[0]))
 
 
+@query("paragraph_properties", """
+WITH t AS (SELECT 'doc:' || doc_id AS tag FROM documents UNION SELECT 'source:' || source FROM documents)
+SELECT tag, TRUE AS whole FROM t WHERE tag IS NOT NULL""")
+def paragraph_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tag has a vector of full width without gaps."""
+    _, model = models.tagged(spark, sf)
+    whole = (F.size("vector") == models.SIZE) & F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return model.tags.select("tag", whole.alias("whole"))
+
+
+@query("inferred_properties", "SELECT TRUE AS most_find_themselves")
+def inferred_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine of ten documents of ten words or more, inferred as new, have their own vector among the nearest ten.
+
+    Asked for are the documents whose id is divisible by 10, against the vectors of all documents.
+    """
+    docs, model = models.tagged(spark, sf)
+    asked = model.infer(docs.where("doc_id % 10 = 0 AND size(tokens) >= 10"))
+    return paragraphs.share_found(asked, model.tags.where("tag LIKE 'doc:%'"), 10).select(
+        (F.col("share") >= 0.9).alias("most_find_themselves"))
+
+
 @query("grid_properties", "SELECT TRUE AS best_is_largest, TRUE AS one_best")
 def grid_properties(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.cv_grid(spark, sf)

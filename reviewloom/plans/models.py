@@ -15,6 +15,7 @@ from reviewloom.operators import (
     classify,
     clusters,
     features,
+    paragraphs,
     sgd,
     topics,
     vectors,
@@ -164,6 +165,21 @@ def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", vector_to_array("vector", "float32").alias("vector"))
 
 
+def tagged(spark: SparkSession, sf: str) -> tuple[DataFrame, paragraphs.ParagraphModel]:
+    """Documents with their id and source as tags, and their paragraph vectors."""
+    docs = documents(spark, sf, "source", "text")
+    tags = F.array(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.concat(F.lit("source:"), "source"))
+    docs = docs.select("doc_id", T.words("text").alias("tokens"), tags.alias("tags")).persist()
+    return docs, paragraphs.fit_paragraphs(docs, size=SIZE, epochs=EPOCHS)
+
+
+@query("paragraph_vectors")
+def paragraph_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector of every document and every source."""
+    _, model = tagged(spark, sf)
+    return model.tags.select("tag", F.transform("vector", lambda x: x.cast("float")).alias("vector"))
+
+
 @query("stacked_vectors")
 def stacked_vectors(spark: SparkSession, sf: str) -> DataFrame:
     _, docs, rows = embedded(spark, sf)
