@@ -98,6 +98,16 @@ def count_weights(tf: DataFrame) -> DataFrame:
     return tf.withColumn("weight", F.col("n").cast("double")).drop("n")
 
 
+def vectorise(tf: DataFrame, n_docs: Column, doc: str, vectoriser: str = "tfidf", max_features: int | None = None,
+              **options) -> DataFrame:
+    """Weights (doc, term, weight) by the chosen vectoriser, `tfidf` with its options or `count`."""
+    if vectoriser == "tfidf":
+        return tfidf(tf, n_docs, doc, max_features=max_features, **options)
+    if vectoriser != "count":
+        raise ValueError(f"no vectoriser {vectoriser}")
+    return count_weights(limit_vocabulary(tf.where(F.col(doc).isNotNull()), doc, max_features))
+
+
 def keywords(tf: DataFrame, n_docs: Column, doc: str, n: int = 10) -> DataFrame:
     """The n heaviest terms per document, (doc, term, weight, rank).
 

@@ -58,13 +58,14 @@ def _round(c: str, n: int = 6) -> Column:
     return F.round(c, n).alias(c)
 
 
-def app_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF vectors of the apps with their category, and the vocabulary."""
+def app_vectors(spark: SparkSession, sf: str, vectoriser: str = "tfidf") -> tuple[DataFrame, DataFrame]:
+    """Vectors of the apps with their category, and the vocabulary."""
     docs = documents(spark, sf, "source", "lang", "text")
     tf = (vocab.token_rows(docs, "source", name="term").groupBy("source", "term")
           .agg(F.count("*").alias("n")))
     n_docs = table(spark, sf, "documents").agg(F.count_distinct("source")).scalar()
-    weighed = weights.tfidf(tf, n_docs, "source", max_features=FEATURES, grouped=True)
+    options = {"grouped": True} if vectoriser == "tfidf" else {}
+    weighed = weights.vectorise(tf, n_docs, "source", vectoriser, FEATURES, **options)
     totals = tf.groupBy("term").agg(F.sum("n").alias("cnt"))
     words = vocab.indexed(totals, FEATURES)
     first = docs.groupBy("source").agg(F.min_by("lang", "doc_id").alias("category"))
@@ -72,8 +73,9 @@ def app_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows.persist(), words
 
 
-def app_clusters(spark: SparkSession, sf: str) -> tuple[KMeansModel, DataFrame, DataFrame]:
-    rows, words = app_vectors(spark, sf)
+def app_clusters(spark: SparkSession, sf: str,
+                 vectoriser: str = "tfidf") -> tuple[KMeansModel, DataFrame, DataFrame]:
+    rows, words = app_vectors(spark, sf, vectoriser)
     k = table(spark, sf, "documents").select("lang").distinct().count()
     model = clusters.fit_kmeans(rows, k, tries=10, max_iter=300)
     return model, model.transform(rows), words

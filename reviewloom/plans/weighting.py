@@ -196,6 +196,15 @@ def mst_edges(spark: SparkSession, sf: str) -> DataFrame:
     return cooc.spanning_forest(rounded, "term_i", "term_j", "distance")
 
 
+@query("count_vectors", f"""WITH {TOK}, tf AS (SELECT doc_id, w AS term, count(*) AS n FROM tok GROUP BY ALL),
+  top AS (SELECT term FROM tf GROUP BY term ORDER BY sum(n) DESC, term LIMIT 2000)
+SELECT doc_id, term, CAST(n AS DOUBLE) AS weight FROM tf JOIN top USING (term)""")
+def count_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the 2,000 most frequent words as weights, the other vectoriser."""
+    tf = vocab.bag_of_words(documents(spark, sf, "text"))
+    return weights.vectorise(tf, F.lit(0), "doc_id", "count", 2000)
+
+
 def rated_tf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labelled documents with their test flag, and their term frequencies."""
     docs = labelled(spark, sf).select("doc_id", "y", "text", in_test().alias("te"))
