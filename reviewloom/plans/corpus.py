@@ -346,6 +346,17 @@ def rules_parse(spark: SparkSession, sf: str) -> DataFrame:
     return R.rule_pairs(R.read_rules(spark, path))
 
 
+@query("rules_mapping", f"""
+WITH {TOK}, known AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= 20)
+SELECT w || chr(9) || 'NA' || chr(9) || '>>' || chr(9) || w || chr(9) || 'NNG' AS line FROM known""")
+def rules_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that give frequent words without a tag the one of a noun, from a table of words and what they become."""
+    counts = vocab.bag_of_words(docs_of(spark, sf)).groupBy("term").agg(F.sum("n").alias("n"))
+    mapping = counts.where("n >= 20").select("term", F.array(T.token(F.col("term"), F.lit("NNG"))).alias("becomes"))
+    rules = R.rules_of_mapping(mapping, "term", "becomes")
+    return rules.select(R.format_rule("before", "after").alias("line"))
+
+
 @query("rules_update", f"""
 WITH {TOK}, b AS (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM tok),
   ctokl AS (SELECT conv_id, turn, regexp_extract_all(text, '[^{SPACE}]+') AS l FROM conversations),
