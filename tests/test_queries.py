@@ -132,9 +132,34 @@ def test_properties_notice_shuffled_predictions(spark):
     assert not checks.beats_majority(wrong, "y").first()[0]
 
 
+def test_whole_grid(spark):
+    table = rows(spark, "grid_search")
+    assert len(table) == 192 and sum(r["is_best"] for r in table) == 1
+    best = max(r["accuracy"] for r in table)
+    assert all(abs(r["accuracy"] - best) < 1e-9 for r in table if r["is_best"])
+    folds = rows(spark, "grid_folds")
+    assert len(folds) == 192 * len({r["fold"] for r in folds}) and all(0 <= r["accuracy"] <= 1 for r in folds)
+
+
+def test_minibatches_and_languages(spark, duck):
+    n = duck.execute("SELECT count(*) FROM embeddings").fetchall()[0][0]
+    found = rows(spark, "kmeans_minibatch")
+    assert len(found) == n and {r["cluster"] for r in found} <= set(range(10))
+    named = rows(spark, "sgd_languages")
+    assert sum(r["lang"] == r["pred"] for r in named) >= 0.9 * len(named) > 0
+
+
+def test_paragraph_queries(spark, duck):
+    tags = duck.execute("SELECT count(*) + count(DISTINCT source) FROM documents").fetchall()[0][0]
+    found = rows(spark, "paragraph_vectors")
+    assert len(found) == tags and all(len(r["vector"]) == 100 for r in found)
+    assert 0.5 <= rows(spark, "inferred_share")[0]["share"] <= 1
+
+
 def test_every_query_is_checked_here():
     by_rows = {"sample_one", "kmeans_docs", "cluster_summary", "kmeans_vectors", "pca_2d",
                "logreg_vectors", "topic_terms", "topic_assign", "topic_sizes",
                "topic_query_rate", "doc_vectors", "stacked_vectors", "doc_query_topk",
-               "word_neighbours", "svm_predict", "cv_grid", "model_compare"}
+               "word_neighbours", "svm_predict", "cv_grid", "model_compare", "grid_search", "grid_folds",
+               "kmeans_minibatch", "sgd_languages", "paragraph_vectors", "inferred_share"}
     assert set(QUERIES) == set(SQL) | by_rows
