@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.functions.text import token
+from reviewloom.operators.rewriting import merge_by_trie, reached_documents, read_reached
 from reviewloom.runtime import durable, hot_keys, salted_join
 
 Pair = tuple[str, str]
 Rule = tuple[Sequence[Pair], Sequence[Pair]]
 
-# Rules folded into one expression before the plan is cut.
+# More rules than this go by table or trie instead of one expression.
 RULES_PER_PLAN = 100
 # Rules are written by hand; more than this is taken for a mistake.
 MAX_RULES = 100_000
@@ -214,8 +215,8 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule], doc: str = "doc_id",
                 retokenise: T.Tokenizer = T.tag_by_script) -> DataFrame:
     """Split rules first, then merge rules, each kind in rule order.
 
-    Merge rules work one after the other, so a long list of them is applied in
-    portions with the plan cut between.
+    A long list of merge rules goes through `merge_by_trie`, a short one is an
+    expression; a test holds both against rule by rule.
     """
     if split:
         single = [r for r in rules if len(r[0]) == 1]
@@ -225,13 +226,29 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule], doc: str = "doc_id",
             docs = docs.withColumn(tokens, split_expr(tokens, single, retokenise))
     if merge:
         longer = [r for r in rules if len(r[0]) > 1]
-        for i in range(0, len(longer), RULES_PER_PLAN):
-            if i:
-                docs = durable(docs)
-            docs = docs.withColumn(tokens, merge_expr(tokens, longer[i:i + RULES_PER_PLAN]))
+        if len(longer) > RULES_PER_PLAN:
+            docs = merge_by_trie(docs, longer, tokens)
+        else:
+            docs = docs.withColumn(tokens, merge_expr(tokens, longer))
     return docs
 
 
+def rewrite_reached(docs: DataFrame, postings: DataFrame, rules: Sequence[Rule], doc: str = "doc_id",
+                    tokens: str = "tokens", split: bool = True, merge: bool = True,
+                    retokenise: T.Tokenizer = T.tag_by_script, buckets: int | None = None) -> DataFrame:
+    """`apply_rules` on only the documents that the inverted index names; the others are not in the result.
+
+    `postings` comes from `token_postings`. Documents stored by `write_by_bucket` are read by their buckets if
+    `buckets` tells how many there are.
+    """
+    reached = durable(reached_documents(postings, rules, doc, split, merge))
+    if buckets:
+        some = read_reached(docs, reached, doc, buckets)
+    else:
+        some = docs.join(reached, doc, "left_semi").select(docs.columns)
+    return apply_rules(some, rules, doc, tokens, split, merge, retokenise)
+
+
 def rule_matches(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unknown tokens (lex, n) that contain a rule key, (key, lex, n).
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators import rules as R
-from reviewloom.operators import tables, vocab
+from reviewloom.operators import ordering, tables, vocab
+from reviewloom.operators.rewriting import token_postings
 from reviewloom.plans.registry import FTOK, SPACE, TAG, TOK, TOKEN, VOC, documents, query, table
 from reviewloom.plans.reviews import labelled
 from reviewloom.runtime import scratch_path
@@ -312,6 +313,73 @@ def apply_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rewritten(spark, sf, split=True, merge=True)
 
 
+# Runs of two tokens that become rules: the most frequent, and the rarest that still repeat.
+LONG_RULES, RARE_RULES = 1000, 50
+
+
+def tagged_of(spark: SparkSession, sf: str) -> DataFrame:
+    docs = docs_of(spark, sf)
+    return vocab.tag_documents(docs, vocab.tagged_counts(docs))
+
+
+def run_rules(tagged: DataFrame, n: int, rare: bool = False) -> list[R.Rule]:
+    """Rules that join the n most frequent runs of two tokens, or the n rarest that repeat, in that order."""
+    at = F.sequence(F.lit(0), F.size("tokens") - 2)
+    runs = F.when(F.size("tokens") > 1, F.transform(at, lambda i: F.struct(
+        F.get("tokens", i).alias("a"), F.get("tokens", i + 1).alias("b"))))
+    rows = tagged.select(F.explode(runs).alias("r")).select(
+        F.col("r.a.lex").alias("lex"), F.col("r.a.pos").alias("pos"),
+        F.col("r.b.lex").alias("lex2"), F.col("r.b.pos").alias("pos2"))
+    key = ["lex", "pos", "lex2", "pos2"]
+    counts = tables.group_counts(rows, *key).where("n > 1")
+    sign = F.col("n") if not rare else -F.col("n")
+    head = ordering.count_head(counts.withColumn("m", sign), "m", key, n, "rule_no")
+    return R.collect_rules(head.select(
+        "rule_no", F.array(T.token(F.col("lex"), F.col("pos")), T.token(F.col("lex2"), F.col("pos2"))).alias("before"),
+        F.array(T.token(F.concat("lex", "lex2"), F.lit("NNG"))).alias("after")))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    shown = F.array_join(F.transform("tokens", lambda t: F.concat(t.lex, F.lit("/"), t.pos)), " ")
+    return docs.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.md5(shown).alias("digest"))
+
+
+def _runs_sql(order: str, n: int) -> str:
+    """All rules one after the other over every document as one string."""
+    return f"""
+  pos AS (SELECT doc_id, seq, lex, pos FROM lexs JOIN tagn USING (lex)),
+  nxt AS (SELECT lex, pos, lead(lex) OVER w AS lex2, lead(pos) OVER w AS pos2 FROM pos
+          WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+  counted AS (SELECT lex, pos, lex2, pos2, count(*) AS n FROM nxt WHERE lex2 IS NOT NULL
+              GROUP BY ALL HAVING count(*) > 1 ORDER BY {order}, lex, pos, lex2, pos2 LIMIT {n}),
+  rule AS (SELECT list(' ' || lex || '/' || pos || '  ' || lex2 || '/' || pos2 || ' ' || chr(4)
+                       || ' ' || lex || lex2 || '/NNG ' ORDER BY {order}, lex, pos, lex2, pos2) AS l FROM counted),
+  doc AS (SELECT doc_id, coalesce(string_agg(' ' || lex || '/' || pos || ' ', '' ORDER BY seq), '') AS t
+          FROM documents LEFT JOIN pos USING (doc_id) GROUP BY doc_id),
+  done AS (SELECT doc_id, t AS before, list_reduce(list_prepend(t, l), lambda a, r:
+             replace(a, split_part(r, chr(4), 1), split_part(r, chr(4), 2))) AS after FROM doc, rule),
+  shown AS (SELECT doc_id, before <> after AS changed, trim(replace(after, '  ', ' ')) AS t FROM done)
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS BIGINT) AS n,
+       md5(t) AS digest FROM shown"""
+
+
+@query("merge_rules_long", f"WITH {TAG}, {_runs_sql('n DESC', LONG_RULES)}")
+def merge_rules_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document after the rules that join the most frequent runs."""
+    tagged = tagged_of(spark, sf).persist()
+    return digests(R.apply_rules(tagged, run_rules(tagged, LONG_RULES)))
+
+
+@query("rules_reached", f"WITH {TAG}, {_runs_sql('n', RARE_RULES)} WHERE changed")
+def rules_reached(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that rules of rare runs change, found by the inverted index."""
+    tagged = tagged_of(spark, sf).persist()
+    made = run_rules(tagged, RARE_RULES, rare=True)
+    done = digests(R.rewrite_reached(tagged, token_postings(tagged), made))
+    return done.join(digests(tagged).select("doc_id", F.col("digest").alias("was")), "doc_id").where(
+        "digest <> was").drop("was")
+
+
 # Word pairs as frequent as this become rules.
 PAIR_COUNT = 20
 
