@@ -17,6 +17,7 @@ from reviewloom.operators import (
     features,
     paragraphs,
     sgd,
+    subwords,
     topics,
     vectors,
     vocab,
@@ -24,7 +25,7 @@ from reviewloom.operators import (
 )
 from reviewloom.operators.ordering import fold_of, in_test
 from reviewloom.plans.corpus import QUERY
-from reviewloom.plans.registry import documents, query, table
+from reviewloom.plans.registry import TOK, documents, query, table
 from reviewloom.plans.reviews import labelled
 from reviewloom.plans.weighting import rated_tf
 from reviewloom.runtime import scratch_path, spread
@@ -214,6 +215,37 @@ def word_neighbours(spark: SparkSession, sf: str) -> DataFrame:
         far.select("word", F.col("cosine").alias("similarity"), F.lit("far").alias("side")))
 
 
+# Frequent words of this length are misspelled and asked for.
+ASKED, ASKED_LENGTH = 20, 6
+
+
+@query("char_grams", f"""
+WITH {TOK}, w AS (SELECT DISTINCT '<' || w || '>' AS w FROM tok),
+  g AS (SELECT DISTINCT w, substr(w, i, n) AS gram FROM w, range(3, 7) r(n), LATERAL (
+    SELECT unnest(range(1, CAST(length(w) - n + 2 AS BIGINT))) AS i))
+SELECT gram, count(*) AS words FROM g GROUP BY gram""")
+def char_grams(spark: SparkSession, sf: str) -> DataFrame:
+    """Character n-grams with the number of distinct words that hold them."""
+    words = documents(spark, sf, "text").select(F.explode(T.words("text")).alias("word")).distinct()
+    grams = words.select(F.explode(subwords.char_grams("word")).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("words"))
+
+
+@query("unknown_word_neighbours")
+def unknown_word_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest known words of frequent words that lack their third letter, which no document writes so."""
+    model, docs, _ = embedded(spark, sf)
+    known = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    counts = docs.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    short = F.concat(F.substring("word", 1, 2), F.expr("substr(word, 4)"))
+    wrong = counts.where(F.length("word") >= ASKED_LENGTH).select("n", F.col("word").alias("meant"), short.alias("asked"))
+    unheard = wrong.join(counts.select(F.col("word").alias("asked")), "asked", "left_anti")
+    first = unheard.orderBy(F.col("n").desc(), "meant").limit(ASKED).select("asked", "meant")
+    asked = subwords.infer_words(subwords.fit_subwords(known), first.select(F.col("asked").alias("word")))
+    near = subwords.nearest_words(asked, known, 10)
+    return near.join(F.broadcast(first), "asked").select("asked", "meant", "rank", "word", _round("similarity"))
+
+
 @query("logreg_vectors")
 def logreg_vectors(spark: SparkSession, sf: str) -> DataFrame:
     rows = vector_rows(spark, sf).withColumn("te", in_test("vec_id"))

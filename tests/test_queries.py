@@ -80,6 +80,9 @@ def test_embeddings(spark, duck):
     near = rows(spark, "doc_query_topk")
     assert len(near) == 20
     assert [r["cosine"] for r in near] == sorted((r["cosine"] for r in near), reverse=True)
+    unknown = rows(spark, "unknown_word_neighbours")
+    assert all(r["asked"] == r["meant"][:2] + r["meant"][3:] and r["asked"] != r["word"] for r in unknown)
+    assert len({(r["asked"], r["meant"], r["rank"]) for r in unknown}) == len(unknown)
     sides = [r["side"] for r in rows(spark, "word_neighbours")]
     assert sides.count("near") == 10 and sides.count("far") == 10
 
@@ -160,6 +163,6 @@ def test_every_query_is_checked_here():
     by_rows = {"sample_one", "kmeans_docs", "cluster_summary", "kmeans_vectors", "pca_2d",
                "logreg_vectors", "topic_terms", "topic_assign", "topic_sizes",
                "topic_query_rate", "doc_vectors", "stacked_vectors", "doc_query_topk",
-               "word_neighbours", "svm_predict", "cv_grid", "model_compare", "grid_search", "grid_folds",
+               "unknown_word_neighbours", "word_neighbours", "svm_predict", "cv_grid", "model_compare", "grid_search", "grid_folds",
                "kmeans_minibatch", "sgd_languages", "paragraph_vectors", "inferred_share"}
     assert set(QUERIES) == set(SQL) | by_rows
