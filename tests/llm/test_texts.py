@@ -329,7 +329,7 @@ def test_nested_quotes():
     body, quotes, passages = chat.parse("Hi\n\nBob wrote:\n> an earlier thing\n> > the first thing\n\nyes indeed")
     assert body == "Hi\n\nyes indeed"
     assert {q[0] for q in quotes} == {1, 2}
-    assert chat.passage_hash("An earlier\nthing!") in {q[1] for q in quotes}
+    assert chat.passage_hash("An earlier\nthing!") in {q[2] for q in quotes}
     assert chat.passage_hash("yes indeed") in passages
     assert chat.parse(None) == chat.parse("") == ("", [], [])
 
@@ -384,6 +384,49 @@ def test_chat_edge_cases(spark):
     assert chat.format_chats(messages(spark, [])).count() == 0
 
 
+def test_short_partial_and_rewrapped_quotes(spark):
+    rows = [(1, 0, "user", "Yes."), (1, 1, "user", "> Yes.\nreally"),
+            (1, 2, "user", "We left early. The train was late, as usual. Nobody minded."),
+            (1, 3, "user", "> The train was late,\n> as usual.\nindeed"),
+            (1, 4, "user", "> We left early. The train\n> was late, as usual. Nobody\n> minded.\nall of it"),
+            (1, 5, "user", "> ?!\nno words"), (1, 6, "user", "?!"), (1, 7, "user", "> ?!\nmarks"),
+            (1, 8, "user", "> the train was\npart of a sentence"),
+            # The whole passage goes before a later message that holds one sentence of it.
+            (1, 9, "user", "Nobody minded."), (1, 10, "user", "> The train was late, as usual. Nobody minded.\nso"),
+            (1, 11, "user", "> We left early. The train was late, as usual. Nobody minded.\nwhole")]
+    got = {r.turn: r.parent_turn for r in chat.format_chats(messages(spark, rows)).collect()}
+    assert {t: p for t, p in got.items() if p is not None} == {1: 0, 3: 2, 4: 2, 7: 6, 10: 9, 11: 2}
+
+
+def test_messages_of_one_turn_and_null_conversations(spark):
+    rows = [(7, 0, "user", "an old remark"), (7, 1, "user", "> an old remark\nquoting"), (7, 1, "user", "not quoting"),
+            (7, 2, "user", "> quoting\nlater")]
+    got = {r.text: (r.parent_turn, r.depth) for r in chat.format_chats(messages(spark, rows)).collect()}
+    assert got == {"an old remark": (None, 0), "quoting": (0, 1), "not quoting": (None, 0), "later": (1, 2)}
+    kind = "conv_id string, turn long, role string, text string"
+    rows = [(None, 0, "user", "in the null one"), ("", 1, "user", "> in the null one\nempty"),
+            (None, 1, "user", "> in the null one\nnull")]
+    got = {r.text: (r.conv_id, r.parent_turn) for r in chat.format_chats(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"in the null one": (None, None), "empty": ("", None), "null": (None, 0)}
+
+
+def test_long_chain_and_wide_fan_of_replies(spark):
+    n = 20_000
+    chain = [(1, t, "user", f"> step {t - 1}\nstep {t}" if t else "step 0") for t in range(n)]
+    fan = [(2, t, "user", "> the start\nme too" if t else "the start") for t in range(2000)]
+    got = chat.format_chats(messages(spark, chain + fan)).collect()
+    assert all(r.depth == r.turn == r.reply_pos for r in got if r.conv_id == 1)
+    assert all(r.depth == min(r.turn, 1) and r.reply_pos == r.turn for r in got if r.conv_id == 2)
+    assert len(got) == n + 2000
+
+
+def test_very_long_messages(spark):
+    long = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", f"> {long}\nread it")]
+    got = {r.turn: (r.parent_turn, len(r.text)) for r in chat.format_chats(messages(spark, rows)).collect()}
+    assert got == {0: (None, len(long)), 1: (0, 7)}
+
+
 def test_no_input_leaks_into_scores(spark):
     """Scores look at the text alone: ids, language and source may change."""
     rows = quality_rows(200)
