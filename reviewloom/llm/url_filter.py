@@ -3,21 +3,26 @@
 Written rules judge the urls they fit; the longest rule wins. All other urls are
 judged by their template. Every host has a tree of path segments. Digits and
 hashes in segments become wildcards at once. Then, level by level from the
-host, a branch is merged with its siblings into `*` if the mix of what follows
-it is close to the mix below its parent, or if it is one of very many branches,
-and if in both cases its labelled purity is close to the parent's. The labels
-are the verdicts of the rules. A template is rejected if the share of blocked
-urls among its labelled ones, smoothed towards one half, is high enough.
+host, a branch is compared with the sums of all branches of its parent whose
+names are of its kind (with or without a number). It is merged into `*` (or
+`*{n}`) if the mix of what follows it and its labelled purity are theirs: the
+difference is small, or no larger than chance explains in so few urls. So an
+unlabelled branch goes with siblings of its shape. The labels are the verdicts
+of the rules. A template is rejected if the share of blocked urls among its
+labelled ones, smoothed towards one half, is high enough.
 
 The tree is held as one row per distinct template, counted before anything is
 compared, and branches are compared with their parent's sums, never with each
 other. A host with a third of all urls is thus as many rows as it has
-templates.
+templates, and joins split hot parents, branches and templates. Levels are built
+while templates share a node: a template that is alone below its node has no
+branches to compare and leaves, so the number of rounds is the longest path that
+two templates have in common.
 
 Defined results: a null url, or one without `://`, has empty host and path and
-the verdict of that (empty) template; repeated urls each get their row; an
-empty table gives an empty result; other columns are not looked at. Levels
-below DEPTH count as one, `**`.
+the verdict of that (empty) template; repeated urls each get their row; very
+long urls are taken whole; an empty table gives an empty result; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -26,15 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import query, table
-from reviewloom.runtime import durable
+from reviewloom.runtime import durable, hot_keys, salted_join
 
 # Rules of the registered query, as (verdict, host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-DEPTH = 4
-MANY_BRANCHES = 50
+# Differences that are small in any number of urls, in shares that follow and in purity.
 CLOSE_MIX = 0.2
-CLOSE_PURITY = 0.25
+CLOSE_PURITY = 0.1
+# Differences that chance explains: chi-square of three degrees and of one, each at 0.001.
+CHANCE_MIX, CHANCE_PURITY = 16.27, 10.83
 SMOOTHING = 4
 REJECT = 0.9
 
@@ -69,17 +75,14 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def segments(path: Column) -> Column:
-    """First DEPTH segments with digits and hashes as wildcards, padded with empty ones."""
-    all_parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    typed = F.transform(F.slice(all_parts, 1, DEPTH), lambda s: F.when(s.rlike(HASH), F.lit("{x}")).otherwise(
-        F.regexp_replace(s, "[0-9]+", "{n}")))
-    cut = F.when(F.size(all_parts) > DEPTH, F.concat(F.slice(typed, 1, DEPTH - 1), F.array(F.lit("**"))))
-    return F.slice(F.concat(F.coalesce(cut, typed), F.array_repeat(F.lit(""), DEPTH)), 1, DEPTH)
+    """The segments with digits and hashes as wildcards."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(
+        s.rlike(HASH), F.lit("{x}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
 
 
 def _kind(segment: Column) -> Column:
-    """What follows a branch: nothing, a number, a name with a number, another name."""
-    return (F.when(segment == "", F.lit(0)).when(segment == "{n}", F.lit(1))
+    """What a segment is: nothing, a number, a name with a number, another name."""
+    return (F.when(segment.isNull(), F.lit(0)).when(segment == "{n}", F.lit(1))
             .when(segment.contains("{n}"), F.lit(2)).otherwise(F.lit(3)))
 
 
@@ -90,27 +93,64 @@ def _purity(blocked: Column, labelled: Column) -> Column:
     return (blocked + F.lit(SMOOTHING / 2)) / (labelled + F.lit(SMOOTHING))
 
 
+def _same_mix() -> Column:
+    """Whether what follows a branch is mixed as below the group `p_`."""
+    def part(k: int) -> Column:
+        return F.col("n").cast("double") * F.col(f"p_k{k}") / F.col("p_n")
+    apart = sum((F.abs(F.col(f"k{k}") / F.col("n") - F.col(f"p_k{k}") / F.col("p_n")) for k in range(4)), F.lit(0.0))
+    chance = sum((F.when(F.col(f"p_k{k}") > 0, (F.col(f"k{k}") - part(k)) * (F.col(f"k{k}") - part(k)) / part(k))
+                  .otherwise(F.lit(0.0)) for k in range(4)), F.lit(0.0))
+    return (apart <= 2 * CLOSE_MIX) | (chance <= CHANCE_MIX)
+
+
+def _same_purity() -> Column:
+    """Whether the labels of a branch are those of the group `p_`; a branch without labels agrees."""
+    labelled, blocked = F.col("labelled").cast("double"), F.col("blocked")
+    q = _purity(F.col("p_blocked"), F.col("p_labelled"))
+    away = blocked - labelled * q
+    return ((F.col("labelled") == 0) | (F.abs(away) <= labelled * CLOSE_PURITY)
+            | (away * away <= labelled * q * (1 - q) * CHANCE_PURITY))
+
+
 def merge_level(tree: DataFrame, level: int) -> DataFrame:
-    """Append the name at `level` (its own or `*`) to `node` of every template."""
-    own = F.element_at("parts", level)
-    following = F.element_at("parts", level + 1) if level < DEPTH else F.lit("")
-    rows = tree.withColumn("own", own)
+    """Append the name at `level` (its own or a wildcard) to `node` of every template, all of which reach that level."""
+    own, following = F.element_at("parts", level), F.get("parts", F.lit(level))
+    rows = tree.withColumn("branch", F.struct("node", own.alias("own")))
     kinds = [F.sum(F.when(_kind(following) == k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in range(4)]
-    branches = rows.groupBy("node", "own").agg(
-        F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), *kinds)
-    parents = branches.groupBy("node").agg(
+    branches = durable(rows.groupBy("branch").agg(
+        F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"),
+        F.count("*").alias("templates"), *kinds).withColumn("parent", F.struct(
+            "branch.node", _kind(F.col("branch.own")).alias("kind"))))
+    parents = branches.groupBy("parent").agg(
         *[F.sum(c).alias(f"p_{c}") for c in SUMS], F.count("*").alias("branches"))
-    apart = sum((F.abs(F.col(f"k{k}") / F.col("n") - F.col(f"p_k{k}") / F.col("p_n")) for k in range(4)), F.lit(0.0))
-    close = F.abs(_purity(F.col("blocked"), F.col("labelled"))
-                  - _purity(F.col("p_blocked"), F.col("p_labelled"))) <= CLOSE_PURITY
-    alike = apart <= 2 * CLOSE_MIX
-    one_of_many = (F.col("branches") > MANY_BRANCHES) & (F.col("n") * MANY_BRANCHES < F.col("p_n"))
-    # Nothing is merged with the end of a path, and an only branch stays.
-    merged = (F.col("own") != "") & (F.col("branches") > 1) & close & (alike | one_of_many)
-    names = branches.join(parents, "node").select(
-        "node", "own", F.when(merged, F.lit("*")).otherwise(F.col("own")).alias("name"))
-    return (rows.join(names, ["node", "own"])
-            .withColumn("node", F.concat_ws("/", "node", "name")).drop("own", "name"))
+    # A number is a wildcard already, and an only branch stays.
+    merged = (F.col("parent.kind") >= 2) & (F.col("branches") > 1) & _same_purity() & _same_mix()
+    wild = F.when(F.col("parent.kind") == 2, F.lit("*{n}")).otherwise(F.lit("*"))
+    named = salted_join(branches, parents, "parent", hot_keys(parents, "parent", "branches"), "branch").select(
+        "branch", F.when(merged, wild).otherwise(F.col("branch.own")).alias("name"))
+    return (salted_join(rows, named, "branch", hot_keys(branches, "branch", "templates"), "key")
+            .withColumn("node", F.concat_ws("/", "node", "name")).drop("branch", "name"))
+
+
+def templates_of(tree: DataFrame) -> DataFrame:
+    """The rows of the tree (key, node, parts, n, blocked, labelled) with their template as `node`."""
+    level, done = 1, []
+    while True:
+        # Alone below its node, or at its end.
+        alone = tree.groupBy("node").agg(F.count("*").alias("below"))
+        shared = durable(salted_join(tree, alone, "node", hot_keys(alone, "node", "below"), "key"))
+        going = (F.col("below") > 1) & (F.size("parts") >= level)
+        rest = F.slice("parts", level, F.greatest(F.size("parts") - level + 1, F.lit(0)))
+        done.append(shared.where(~going).withColumn("node", F.concat_ws("/", "node", rest)).drop("below"))
+        tree = shared.where(going).drop("below")
+        if tree.isEmpty():
+            break
+        tree = durable(merge_level(tree, level))
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], row_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -120,20 +160,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], row_id: str = "page_id
             .select("row_id", host.alias("host"), path.alias("path")))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     rows = (rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("parts", segments(F.col("path")))
-            .withColumn("key", F.concat_ws("/", "host", F.concat_ws("/", "parts"))))
+            .withColumn("key", F.concat("host", F.lit("/"), F.concat_ws("/", "parts"))))
     tree = rows.groupBy("key", "host", "parts").agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"),
         F.count("ruled").alias("labelled"))
-    tree = durable(tree.withColumnRenamed("host", "node"))
-    for level in range(1, DEPTH + 1):
-        tree = durable(merge_level(tree, level))
+    tree = durable(templates_of(durable(tree.withColumnRenamed("host", "node"))))
     templates = tree.groupBy("node").agg(
-        _purity(F.sum("blocked"), F.sum("labelled")).alias("purity"))
-    judged = tree.select("key", "node").join(templates, "node")
-    return (rows.join(judged, "key", "left")
-            .select(F.col("row_id").alias(row_id), "host", "path", "rule",
-                    F.coalesce("ruled", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
-                    .alias("verdict"), F.col("node").alias("template"), "purity"))
+        _purity(F.sum("blocked"), F.sum("labelled")).alias("purity"), F.count("*").alias("keys"))
+    judged = durable(salted_join(tree.select("key", "node", "n"), templates.drop("keys"), "node",
+                                 hot_keys(templates, "node", "keys"), "key"))
+    found = salted_join(rows, judged.drop("n"), "key", hot_keys(judged, "key", "n"), ["row_id", "path"], "left")
+    return found.select(
+        F.col("row_id").alias(row_id), "host", "path", "rule",
+        F.coalesce("ruled", F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow")))
+        .alias("verdict"), F.col("node").alias("template"), "purity")
 
 
 def _rule_case(value: int) -> str:
@@ -144,29 +184,18 @@ def _rule_case(value: int) -> str:
     return "CASE " + " ".join(lines) + " END"
 
 
-def _level_sql(level: int) -> str:
-    after = f"parts[{level + 1}]" if level < DEPTH else "''"
-    half = SMOOTHING / 2
-    apart = " + ".join(f"abs(k{k} / n - p_k{k} / p_n)" for k in range(4))
-    return f"""
-r{level} AS (SELECT *, parts[{level}] AS own, CASE WHEN {after} = '' THEN 0 WHEN {after} = '{{n}}' THEN 1
-             WHEN contains({after}, '{{n}}') THEN 2 ELSE 3 END AS kind FROM t{level - 1}),
-b{level} AS (SELECT node, own, sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled,
-             {", ".join(f"sum(CASE WHEN kind = {k} THEN n ELSE 0 END) AS k{k}" for k in range(4))}
-             FROM r{level} GROUP BY node, own),
-p{level} AS (SELECT node, {", ".join(f"sum({c}) AS p_{c}" for c in SUMS)}, count(*) AS branches
-             FROM b{level} GROUP BY node),
-m{level} AS (SELECT node, own, CASE WHEN own <> '' AND branches > 1
-             AND abs((blocked + {half}) / (labelled + {SMOOTHING})
-                     - (p_blocked + {half}) / (p_labelled + {SMOOTHING})) <= {CLOSE_PURITY}
-             AND ({apart} <= {2 * CLOSE_MIX} OR branches > {MANY_BRANCHES} AND n * {MANY_BRANCHES} < p_n)
-             THEN '*' ELSE own END AS name FROM b{level} JOIN p{level} USING (node)),
-t{level} AS (SELECT r.key, r.node || '/' || m.name AS node, r.parts, r.n, r.blocked, r.labelled
-             FROM r{level} r JOIN m{level} m ON r.node = m.node AND r.own = m.own)"""
+def _kind_sql(segment: str) -> str:
+    return (f"CASE WHEN {segment} IS NULL THEN 0 WHEN {segment} = '{{n}}' THEN 1 "
+            f"WHEN contains({segment}, '{{n}}') THEN 2 ELSE 3 END")
+
 
+_BRANCH, _PARENT = "PARTITION BY node, own", "PARTITION BY node, own_kind"
+_APART = " + ".join(f"abs(k{k} / n_b - p_k{k} / p_n)" for k in range(4))
+_CHANCE = " + ".join(f"CASE WHEN p_k{k} > 0 THEN (k{k} - n_b * p_k{k} / p_n) * (k{k} - n_b * p_k{k} / p_n) "
+                     f"/ (n_b * p_k{k} / p_n) ELSE 0.0::DOUBLE END" for k in range(4))
 
 SQL_TEXT = rf"""
-WITH u0 AS (
+WITH RECURSIVE u0 AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 u1 AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM u0),
@@ -174,20 +203,34 @@ u2 AS (SELECT page_id, translate(h, '{UPPER}', '{LOWER}') AS host,
        regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM u1),
 u3 AS (SELECT *, {_rule_case(1)} AS rule, {_rule_case(0)} AS ruled,
        list_filter(string_split(path, '/'), lambda x: x <> '') AS l FROM u2),
-u4 AS (SELECT *, list_transform(l[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '{HASH}') THEN '{{x}}'
-       ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS s FROM u3),
-u5 AS (SELECT *, list_resize(CASE WHEN len(l) > {DEPTH} THEN list_append(s[1:{DEPTH - 1}], '**') ELSE s END,
-       {DEPTH}, '') AS parts FROM u4),
-u AS (SELECT *, host || '/' || array_to_string(parts, '/') AS key FROM u5),
-t0 AS (SELECT key, host AS node, parts, count(*) AS n, count(*) FILTER (ruled = 'block') AS blocked,
-       count(ruled) AS labelled FROM u GROUP BY key, host, parts),
-{",".join(_level_sql(k) for k in range(1, DEPTH + 1))},
-f AS (SELECT node, (sum(blocked) + {SMOOTHING / 2}) / (sum(labelled) + {SMOOTHING}) AS purity
-      FROM t{DEPTH} GROUP BY node)
+u4 AS (SELECT *, list_transform(l, lambda x: CASE WHEN regexp_matches(x, '{HASH}') THEN '{{x}}'
+       ELSE regexp_replace(x, '[0-9]+', '{{n}}', 'g') END) AS parts FROM u3),
+u AS (SELECT *, host || '/' || coalesce(array_to_string(parts, '/'), '') AS key FROM u4),
+t AS (
+  SELECT key, host AS node, parts, count(*)::DOUBLE AS n, (count(*) FILTER (ruled = 'block'))::DOUBLE AS blocked,
+         count(ruled)::DOUBLE AS labelled, 1::BIGINT AS level FROM u GROUP BY key, host, parts
+  UNION ALL
+  SELECT key, node || '/' || CASE WHEN own_kind >= 2 AND p_n > n_b
+           AND (labelled_b = 0 OR abs(blocked_b - labelled_b * q) <= labelled_b * {CLOSE_PURITY}::DOUBLE
+                OR (blocked_b - labelled_b * q) * (blocked_b - labelled_b * q)
+                   <= labelled_b * q * (1 - q) * {CHANCE_PURITY}::DOUBLE)
+           AND ({_APART} <= {2 * CLOSE_MIX}::DOUBLE OR {_CHANCE} <= {CHANCE_MIX}::DOUBLE)
+         THEN CASE WHEN own_kind = 2 THEN '*{{n}}' ELSE '*' END ELSE own END,
+         parts, n, blocked, labelled, level + 1
+  FROM (SELECT *, (p_blocked + {SMOOTHING / 2}::DOUBLE) / (p_labelled + {SMOOTHING}::DOUBLE) AS q FROM (
+    SELECT *, {", ".join(f"sum({c}) OVER ({_BRANCH}) AS {c}_b" for c in ("n", "blocked", "labelled"))},
+           {", ".join(f"sum({c}) OVER ({_PARENT}) AS p_{c}" for c in ("n", "blocked", "labelled"))},
+           {", ".join(f"sum(CASE WHEN kind = {k} THEN n ELSE 0 END) OVER ({_BRANCH}) AS k{k}" for k in range(4))},
+           {", ".join(f"sum(CASE WHEN kind = {k} THEN n ELSE 0 END) OVER ({_PARENT}) AS p_k{k}" for k in range(4))}
+    FROM (SELECT *, parts[level] AS own, {_kind_sql("parts[level]")} AS own_kind, {_kind_sql("parts[level + 1]")} AS kind
+          FROM t WHERE level <= len(parts))))),
+e AS (SELECT * FROM t WHERE level = len(parts) + 1),
+f AS (SELECT node, (sum(blocked) + {SMOOTHING / 2}::DOUBLE) / (sum(labelled) + {SMOOTHING}::DOUBLE) AS purity
+      FROM e GROUP BY node)
 SELECT u.page_id, u.host, u.path, u.rule,
-       coalesce(u.ruled, CASE WHEN f.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
-       t.node AS template, CAST(f.purity AS DOUBLE) AS purity
-FROM u JOIN t{DEPTH} t ON u.key = t.key JOIN f ON t.node = f.node
+       coalesce(u.ruled, CASE WHEN f.purity >= {REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       e.node AS template, f.purity AS purity
+FROM u JOIN e ON u.key = e.key JOIN f ON e.node = f.node
 """
 
 

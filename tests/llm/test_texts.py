@@ -305,9 +305,11 @@ def test_templates_generalise_and_reject(spark):
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r for r in url_filter.judge(rows, rules[:20] + rules[26:]).collect()}
     new = [got[i] for i, u in enumerate(urls) if "/badz/" in u]
-    assert {r.template for r in got.values() if r.rule and r.rule.startswith("h.com/bad")} == {"h.com/*/{n}//"}
-    # Unlabelled branches stand apart from labelled ones, so they are not condemned with them.
-    assert {r.verdict for r in new} == {"allow"}
+    assert {r.template for r in got.values() if r.rule and r.rule.startswith("h.com/bad")} == {"h.com/*/{n}"}
+    # An unlabelled folder goes with its labelled siblings of the same shape; the allowed one stands apart.
+    assert len(new) == 8 and {r.verdict for r in new} == {"block"}
+    assert {got[i].template for i, u in enumerate(urls) if "/good/" in u} == {"h.com/good/{n}/about"}
+    assert {got[i].verdict for i, u in enumerate(urls) if "/good/" in u} == {"allow"}
     numbered = [f"http://h.com/page{i}/x" for i in range(40)]
     rows = spark.createDataFrame(list(enumerate([*numbered, "http://h.com/other/y"])), "page_id long, url string")
     known = [("block", f"h.com/page{i}/") for i in range(36)]
@@ -316,6 +318,19 @@ def test_templates_generalise_and_reject(spark):
     assert got[40].verdict == "allow"
 
 
+def test_templates_below_any_depth(spark):
+    """Folders that differ only far down are told apart, and very long urls are taken whole."""
+    deep = "/".join("abcdefgh")
+    urls = [f"http://h.com/{deep}/bad/{i}" for i in range(20)] + [f"http://h.com/{deep}/good/{i}/x" for i in range(20)]
+    urls += ["http://h.com/" + "q/" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("block", f"h.com/{deep}/bad/1"), ("allow", f"h.com/{deep}/good/1")]
+    got = {r.page_id: r for r in url_filter.judge(rows, rules).collect()}
+    assert {got[i].verdict for i in range(20)} == {"block"} and {got[i].verdict for i in range(20, 41)} == {"allow"}
+    assert {got[i].template for i in range(20)} == {f"h.com/{deep}/bad/{{n}}"}
+    assert len(got[40].template) == 5 + 2 * 50_000
+
+
 def test_urls_empty_table(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.RULES).count() == 0
 
