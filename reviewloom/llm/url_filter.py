@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import query, table
-from reviewloom.runtime import durable, hot_keys, salted_join
+from reviewloom.runtime import durable, hot_keys, salted_join, scratch_path
 
 # Rules of the registered query, as (verdict, host and path).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -132,6 +132,14 @@ def merge_level(tree: DataFrame, level: int) -> DataFrame:
             .withColumn("node", F.concat_ws("/", "node", "name")).drop("branch", "name"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows as a written table: unlike a checkpoint, it doesn't hand on the conditions that Spark derives from the
+    plan, which would grow with every level."""
+    path = scratch_path(df.sparkSession, "tree")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def templates_of(tree: DataFrame) -> DataFrame:
     """The rows of the tree (key, node, parts, n, blocked, labelled) with their template as `node`."""
     level, done = 1, []
@@ -145,7 +153,7 @@ def templates_of(tree: DataFrame) -> DataFrame:
         tree = shared.where(going).drop("below")
         if tree.isEmpty():
             break
-        tree = durable(merge_level(tree, level))
+        tree = _stored(merge_level(tree, level))
         level += 1
     out = done[0]
     for part in done[1:]:

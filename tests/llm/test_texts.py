@@ -327,7 +327,8 @@ def test_templates_below_any_depth(spark):
     rules = [("block", f"h.com/{deep}/bad/1"), ("allow", f"h.com/{deep}/good/1")]
     got = {r.page_id: r for r in url_filter.judge(rows, rules).collect()}
     assert {got[i].verdict for i in range(20)} == {"block"} and {got[i].verdict for i in range(20, 41)} == {"allow"}
-    assert {got[i].template for i in range(20)} == {f"h.com/{deep}/bad/{{n}}"}
+    # The folders above have one sibling of their shape, the long url.
+    assert {got[i].template for i in range(20)} == {"h.com" + "/*" * 8 + "/bad/{n}"}
     assert len(got[40].template) == 5 + 2 * 50_000
 
 
