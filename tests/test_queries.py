@@ -163,6 +163,7 @@ def test_every_query_is_checked_here():
     by_rows = {"sample_one", "kmeans_docs", "cluster_summary", "kmeans_vectors", "pca_2d",
                "logreg_vectors", "topic_terms", "topic_assign", "topic_sizes",
                "topic_query_rate", "doc_vectors", "stacked_vectors", "doc_query_topk",
-               "unknown_word_neighbours", "word_neighbours", "svm_predict", "cv_grid", "model_compare", "grid_search", "grid_folds",
+               "unknown_word_neighbours", "word_neighbours", "svm_predict", "cv_grid", "model_compare",
+               "grid_search", "grid_folds",
                "kmeans_minibatch", "sgd_languages", "paragraph_vectors", "inferred_share"}
     assert set(QUERIES) == set(SQL) | by_rows
