@@ -32,8 +32,8 @@ Rule = tuple[Sequence[Pair], Sequence[Pair]]
 OTHER = 1
 SURROGATES, AFTER_SURROGATES = 0xD800, 0xE000
 MAX_TOKENS = 0x110000 - (AFTER_SURROGATES - SURROGATES) - OTHER - 1
-# Documents that a task turns into code points at a time.
-SLICE = 1024
+# Tokens, in whole documents, that a task turns into code points at a time.
+SLICE_TOKENS = 100_000
 
 
 def _code_points(numbers: np.ndarray) -> np.ndarray:
@@ -139,6 +139,15 @@ def _merge_column(column: pa.Array, rules: RunRules, pool: pa.Array, names: pa.A
     return pa.ListArray.from_arrays(offsets, values, type=column.type, mask=column.is_null())
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, number) of about SLICE_TOKENS tokens, so that memory doesn't follow their lengths."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    # A row takes some memory itself.
+    number = np.cumsum(sizes + 10) // SLICE_TOKENS
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else number
+    yield from zip(starts.tolist(), np.diff([*starts, len(column)]).tolist(), strict=True)
+
+
 def merge_by_trie(docs: DataFrame, rules: Sequence[Rule], tokens: str = "tokens") -> DataFrame:
     """`merge_expr` for any number of rules, in one pass without a cut of the plan.
 
@@ -157,8 +166,8 @@ def merge_by_trie(docs: DataFrame, rules: Sequence[Rule], tokens: str = "tokens"
         for batch in batches:
             kind = batch.schema.field(at).type.value_type
             pool = pa.array([{"lex": lex, "pos": pos} for lex, pos in ruled.tokens], kind)
-            for start in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(start, SLICE)
+            for start, rows in _slices(batch.column(at)):
+                piece = batch.slice(start, rows)
                 columns = piece.columns
                 columns[at] = _merge_column(columns[at], ruled, pool, names)
                 yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
@@ -171,7 +180,7 @@ def token_postings(tagged: DataFrame, doc: str = "doc_id", tokens: str = "tokens
 
     Kept long: the posting list of a frequent token has no size bound.
     """
-    return (tagged.select(doc, F.explode(tokens).alias("t"))
+    return (tagged.select(doc, F.explode_outer(tokens).alias("t")).where("t IS NOT NULL")
             .groupBy(F.col("t.lex").alias("lex"), F.col("t.pos").alias("pos"), doc).agg(F.count("*").alias("n")))
 
 

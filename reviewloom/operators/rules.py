@@ -146,7 +146,15 @@ def split_expr(tokens: Column | str, rules: Sequence[Rule], retokenise: T.Tokeni
             out = F.when(hit, made) if out is None else out.when(hit, made)
         return out.otherwise(F.array(token(t.lex, t.pos)))
 
-    touched = F.exists(col, lambda t: t.pos.isin(T.UNKNOWN_TAGS))
+    # Most documents hold no key and are not taken apart.
+    def holds(t: Column) -> Column:
+        found = None
+        for before, _ in single:
+            found = t.lex.contains(before[0][0]) if found is None else found | t.lex.contains(before[0][0])
+        return t.pos.isin(T.UNKNOWN_TAGS) & found
+
+    odd = F.exists(col, lambda t: t.isNull()) & F.exists(col, lambda t: t.pos.isin(T.UNKNOWN_TAGS))
+    touched = F.coalesce(F.exists(col, holds), F.lit(False)) | F.coalesce(odd, F.lit(False))
     return F.when(touched, F.flatten(F.transform(col, rewrite))).otherwise(col)
 
 
@@ -166,13 +174,19 @@ def merge_expr(tokens: Column | str, rules: Sequence[Rule]) -> Column:
         return col
     parts = F.transform(col, lambda t: F.concat(
         F.lit(_OPEN), t.lex, F.lit(_MID), t.pos, F.lit(_CLOSE)))
-    doc = F.array_join(parts, "")
+    whole = doc = F.array_join(parts, "")
+    held = None
     for before, after in longer:
+        here = F.contains(whole, F.lit(_encoded(before)))
+        held = here if held is None else held | here
         doc = F.replace(doc, F.lit(_encoded(before)), F.lit(_encoded(after)))
     coded = F.filter(F.split(doc, _CLOSE), lambda x: x != "")
-    return F.transform(coded, lambda x: token(
+    made = F.transform(coded, lambda x: token(
         F.substring_index(x, _MID, 1).substr(F.lit(2), F.length(x)),
         F.substring_index(x, _MID, -1)))
+    # A document without a run stays as it is, unless it has tokens with nulls, which are dropped.
+    odd = F.exists(col, lambda t: t.isNull() | t.lex.isNull() | t.pos.isNull())
+    return F.when(held | odd, made).otherwise(col)
 
 
 def split_by_table(docs: DataFrame, rules: Sequence[Rule], doc: str, tokens: str,

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from reviewloom.operators import rewriting, rules
+from reviewloom.operators import rewriting, rules, vocab
 
 TOKENS = "array<struct<lex:string,pos:string>>"
 
@@ -122,3 +123,32 @@ def test_contained_keys(spark):
     lexes = spark.createDataFrame([("abc",), ("zz",), (None,), ("",)], "lex string")
     assert [r[0] for r in rewriting.contained_keys(lexes, ["bc", "q"]).collect()] == ["abc"]
     assert [r[0] for r in rewriting.contained_keys(lexes, [""]).orderBy("lex").collect()] == ["", "abc", "zz"]
+
+
+def test_tags_by_places_equal_tags_by_join(spark):
+    texts = [(1, "a b b c. d2 e"), (2, "a f f er, a"), (2, "g b 3 über g h"), (3, None), (4, " "), (None, "f i j"),
+             (None, "j k! c"), (5, "l l"), (6, "m n"), (7, "n " * 3), (8, "ü a é é"), (9, "o o o")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    joined = vocab.tag_documents(docs, vocab.tagged_counts(docs))
+    placed = vocab.tag_by_corpus(vocab.with_rare(docs))
+    assert placed.columns == joined.columns
+    assert lists(placed) == lists(joined) and placed.count() == joined.count() == 8
+    # One null id alone: its rare tokens are told from those of the other documents.
+    one = docs.where("doc_id IS NOT NULL OR text LIKE 'f%'")
+    assert lists(vocab.tag_by_corpus(vocab.with_rare(one))) == lists(vocab.tag_documents(one, vocab.tagged_counts(one)))
+
+
+def test_slices_hold_tokens_not_documents(monkeypatch):
+    monkeypatch.setattr(rewriting, "SLICE_TOKENS", 100)
+    column = pa.array([[{"lex": "a", "pos": "x"}] * n for n in [1, 500, 0, 5, 300, 7, 8]] + [None])
+    slices = list(rewriting._slices(column))
+    assert sum(n for _, n in slices) == 8 and len(slices) >= 3
+    assert all(sum(len(x or []) for x in column.slice(a, n).to_pylist()) < 600 for a, n in slices)
+    assert list(rewriting._slices(column.slice(0, 0))) == []
+
+
+def test_untouched_documents_stay(spark):
+    docs = [[("tion", "NA"), ("x", "NNG")], [("a", "x"), ("b", "y"), ("a", "x")], [("q", "NA")], [], None]
+    made = [([("tion", "NA")], [("t", "NNG")]), ([("a", "x"), ("b", "y")], [("c", "z")])]
+    got = lists(rules.apply_rules(frame(spark, docs), made))
+    assert got == {0: [("t", "NNG"), ("x", "NNG")], 1: [("c", "z"), ("a", "x")], 2: [("q", "NA")], 3: [], 4: None}
