@@ -12,7 +12,7 @@ from reviewloom.functions import text as T
 from reviewloom.functions import tokens as K
 from reviewloom.operators import ordering, tables, vocab
 from reviewloom.plans.registry import SPACE, TOKEN, documents, query, table
-from reviewloom.runtime import scratch_path
+from reviewloom.runtime import by_document, scratch_path
 from reviewloom.sources import feeds, files, pages
 
 # Reviews on one landed feed page at most (ids of a span of 256 per app).
@@ -64,7 +64,7 @@ WHERE r <= 3 GROUP BY doc_id"""
 
 def top_words(spark: SparkSession, sf: str) -> DataFrame:
     """The three most frequent words of every document, (key, words)."""
-    docs = documents(spark, sf, "text")
+    docs = by_document(documents(spark, sf, "text"))
     rows = ordering.top_n(vocab.bag_of_words(docs), "doc_id",
                          [F.col("n").desc(), F.col("term")], 3)
     ordered = F.sort_array(F.collect_list(F.struct("rank", "term")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.operators import bayes, cooc, ordering, rules, tables, vocab, weights
-from reviewloom.runtime import hot_keys, salted_join
+from reviewloom.runtime import by_document, hot_keys, salted_join
 
 TOKENS = "array<struct<lex:string,pos:string>>"
 
@@ -433,3 +433,11 @@ def test_vectoriser_options(spark):
     raw = {t: (1 + np.log(2 if t == "a" else 1)) * w for t, w in idf.items()}
     for t, x in raw.items():
         assert abs(v[pairs.vocabulary.index(t)] - x / sum(raw.values())) < 1e-9
+
+
+def test_terms_of_documents_dealt_by_id_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i % 5 if i % 6 else None, f"a b{i % 3} a") for i in range(40)], "doc_id long, text string")
+    dealt = vocab.bag_of_words(by_document(docs))
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, vocab.bag_of_words(docs).collect()))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
