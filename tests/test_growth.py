@@ -5,8 +5,11 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pytest
+from conftest import SMALL
 
-from reviewloom.operators import paragraphs
+from reviewloom.operators import clusters, paragraphs
+from reviewloom.plans import checks
 
 
 def plain_walk(vector, words, matrix, cuts, rate, rng):
@@ -50,3 +53,9 @@ def test_partitions_of_paragraphs_follow_the_words(spark, monkeypatch):
     parts.clear()
     paragraphs.fit_paragraphs(docs, size=4, min_count=1, epochs=1, parts=3)
     assert max(parts) == 3
+
+
+def test_kmeans_properties_move_all_runs_together(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "fit_kmeans", lambda *a, **k: pytest.fail("a fit for every run"))
+    rows = checks.kmeans_properties(spark, SMALL).collect()
+    assert rows and all(r["nearest"] and r["better_than_one"] for r in rows)
