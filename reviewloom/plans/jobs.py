@@ -193,8 +193,7 @@ def rating_grid(spark: SparkSession, source: str, folds: int = 10,
     docs = docs.withColumn("fold", fold_of("doc_id", folds))
     pipeline = classify.bayes_pipeline()
     grid = classify.bayes_grid(pipeline, list(alphas), list(sublinear), **axes)
-    return classify.grid_scores(
-        classify.grid_search(pipeline, grid, docs, folds=folds, fold_col="fold"), docs)
+    return classify.score_table(grid, classify.fold_scores(pipeline, grid, docs, folds, "fold"), docs)
 
 
 def rating_search(spark: SparkSession, source: str, axes: grid.Axes = grid.Axes(), folds: int = 10) -> DataFrame:

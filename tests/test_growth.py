@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from conftest import SMALL
 
-from reviewloom.operators import clusters, paragraphs
+from reviewloom.operators import classify, clusters, features, paragraphs
 from reviewloom.plans import checks
 
 
@@ -59,3 +59,17 @@ def test_kmeans_properties_move_all_runs_together(spark, monkeypatch):
     monkeypatch.setattr(clusters, "fit_kmeans", lambda *a, **k: pytest.fail("a fit for every run"))
     rows = checks.kmeans_properties(spark, SMALL).collect()
     assert rows and all(r["nearest"] and r["better_than_one"] for r in rows)
+
+
+def test_cross_validation_fits_a_vocabulary_once_a_fold(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame(
+        [(i, i % 4 // 2, float(i % 2), [f"w{j}" for j in rng.integers(0, 8, 6)] + [f"c{i % 2}"] * int(rng.integers(0, 2)))
+         for i in range(60)], "doc_id long, fold int, label double, tokens array<string>")
+    pipeline = classify.bayes_pipeline()
+    grid = classify.bayes_grid(pipeline, [1.0, 2.0], [True, False], norm=["l1", None])
+    want = classify.grid_search(pipeline, grid, docs, folds=2, fold_col="fold").avgMetrics
+    fits, own = [], features.TfIdf._fit
+    monkeypatch.setattr(features.TfIdf, "_fit", lambda self, df: fits.append(1) or own(self, df))
+    assert classify.fold_scores(pipeline, grid, docs, 2, "fold") == pytest.approx(want)
+    assert len(fits) == 2
