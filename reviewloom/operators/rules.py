@@ -68,13 +68,18 @@ def rule_pairs(rules: DataFrame) -> DataFrame:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Stored rules (rule_no, before, after) in file and line order, from 1.
 
-    A rule table is kept by hand and small, so numbering it in one task is fine.
+    The files of one writing follow each other. Only their numbers of rules meet in one task; a file is a task's part.
     """
+    # Of a written file the name of the writing goes before the number of the part.
+    order = F.struct(F.regexp_replace("file", r"part-\d+-([^/]*)$", "$1").alias("writing"), "file")
     files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    numbered = files.where(F.col("line").contains(">>")).select(
-        F.row_number().over(Window.orderBy("file", "at")).alias("rule_no"),
-        parse_rule("line").alias("r"))
+        F.input_file_name().alias("file"),
+        F.filter(F.split("value", "\n"), lambda line: line.contains(">>")).alias("lines"))
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("file", F.size("lines").alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    lines = files.join(F.broadcast(offsets), "file").select("off", F.posexplode("lines").alias("at", "line"))
+    numbered = lines.select((F.col("off") + F.col("at") + 1).cast("int").alias("rule_no"), parse_rule("line").alias("r"))
     return numbered.select("rule_no", "r.before", "r.after")
 
 
@@ -96,9 +101,9 @@ def refused_rules(stored: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def write_rules(rules: DataFrame, path: str, append: bool = True) -> None:
-    """Store rules; appending adds a file, otherwise the table is replaced."""
+    """Store rules in the order of their partitions; appending adds files, otherwise the table is replaced."""
     lines = rules.select(format_rule("before", "after").alias("value"))
-    lines.coalesce(1).write.mode("append" if append else "overwrite").text(path)
+    lines.write.mode("append" if append else "overwrite").text(path)
 
 
 def collect_rules(rules: DataFrame) -> list[Rule]:

@@ -7,8 +7,10 @@ import time
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from reviewloom.operators import classify, clusters, features, paragraphs
+from reviewloom.functions import text as T
+from reviewloom.operators import classify, clusters, features, paragraphs, rules
 from reviewloom.plans import checks
 
 
@@ -73,3 +75,19 @@ def test_cross_validation_fits_a_vocabulary_once_a_fold(spark, monkeypatch):
     monkeypatch.setattr(features.TfIdf, "_fit", lambda self, df: fits.append(1) or own(self, df))
     assert classify.fold_scores(pipeline, grid, docs, 2, "fold") == pytest.approx(want)
     assert len(fits) == 2
+
+
+def test_rules_are_written_and_numbered_by_part(spark, tmp_path):
+    made = spark.range(40, numPartitions=5).select(
+        F.array(T.token(F.format_string("a%02d", "id"), F.lit("NNG"))).alias("before"),
+        F.array(T.token(F.lit("b"), F.lit("NNG"))).alias("after"))
+    path = str(tmp_path / "rules")
+    rules.write_rules(made, path)
+    assert len(list((tmp_path / "rules").glob("part-*"))) == 5
+    rules.write_rules(made.limit(3), path)
+    got = rules.read_rules(spark, path).orderBy("rule_no").collect()
+    assert [r["rule_no"] for r in got] == list(range(1, 44))
+    words = [r["before"][0]["lex"] for r in got]
+    # The parts of one writing follow each other, in whatever order the writings are.
+    whole, few = [f"a{i:02d}" for i in range(40)], ["a00", "a01", "a02"]
+    assert words in (whole + few, few + whole)
