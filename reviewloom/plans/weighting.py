@@ -207,7 +207,7 @@ def count_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def rated_tf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labelled documents with their test flag, and their term frequencies."""
-    docs = labelled(spark, sf).select("doc_id", "y", "text", in_test().alias("te"))
+    docs = by_document(labelled(spark, sf)).select("doc_id", "y", "text", in_test().alias("te"))
     tf = (vocab.token_rows(docs, "doc_id", "y", "te", name="term")
           .groupBy("doc_id", "y", "te", "term").agg(F.count("*").alias("n")))
     return docs.select("doc_id", "y", "te"), tf

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.operators import classify, clusters, features, paragraphs, rules
-from reviewloom.plans import checks
+from reviewloom.plans import checks, weighting
 
 
 def plain_walk(vector, words, matrix, cuts, rate, rng):
@@ -91,3 +91,16 @@ def test_rules_are_written_and_numbered_by_part(spark, tmp_path):
     # The parts of one writing follow each other, in whatever order the writings are.
     whole, few = [f"a{i:02d}" for i in range(40)], ["a00", "a01", "a02"]
     assert words in (whole + few, few + whole)
+
+
+def test_rated_terms_are_counted_without_a_shuffle_of_terms(spark, tmp_path):
+    # As many files as make a table of its own partitions.
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").repartition(16).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    try:
+        _, tf = weighting.rated_tf(spark, str(tmp_path))
+        plan = tf._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert not any("term" in line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line)
