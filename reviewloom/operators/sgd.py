@@ -19,6 +19,8 @@ from reviewloom.operators.bayes import MAX_CLASSES
 from reviewloom.operators.centers import BLOCK_ROWS, DIRECT_ROWS, Rows, add_up, one_row, vector_rows
 
 PACKED = pa.schema([("begin", pa.binary()), ("index", pa.binary()), ("value", pa.binary()), ("label", pa.binary())])
+# Rows up to which partitions are put together, one a core.
+FEW_ROWS = 100_000
 PACKED_DDL = "begin binary, index binary, value binary, label binary"
 
 
@@ -102,7 +104,8 @@ def fit_hinge(df: DataFrame, features: str, label: str, width: int, alphas: Sequ
     partitioning, as always when weights are averaged.
     """
     df = df.where(F.col(label).isNotNull() & F.col(features).isNotNull())
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).limit(MAX_CLASSES + 1).collect()]
+    sizes = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).limit(MAX_CLASSES + 1).collect()
+    labels = [r[label] for r in sizes]
     if len(labels) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     if not labels:
@@ -111,7 +114,8 @@ def fit_hinge(df: DataFrame, features: str, label: str, width: int, alphas: Sequ
     spark, strengths, classes = df.sparkSession, np.array(alphas, float), len(labels)
     parts, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     packed = _packed(df.withColumn("_label", number.cast("long")), features, "_label")
-    if cores < parts <= 4 * cores:
+    if cores < parts <= 4 * cores and sum(r["n"] for r in sizes) <= FEW_ROWS:
+        # Of few rows, more to a walk; a task of a large table keeps to its own partition.
         packed, parts = packed.coalesce(cores), cores
     packed = packed.persist()
     columns = len(strengths) * classes

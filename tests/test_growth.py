@@ -7,10 +7,11 @@ import time
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
-from reviewloom.operators import classify, clusters, features, paragraphs, rules
+from reviewloom.operators import classify, clusters, features, paragraphs, rules, sgd
 from reviewloom.plans import checks, weighting
 
 
@@ -77,6 +78,20 @@ def test_cross_validation_fits_a_vocabulary_once_a_fold(spark, monkeypatch):
     assert len(fits) == 2
 
 
+def test_linear_machines_keep_the_partitions_of_many_rows(spark, monkeypatch):
+    rows = spark.range(64, numPartitions=16).select(
+        F.concat(F.lit("c"), F.col("id") % 2).alias("label"),
+        array_to_vector(F.array((F.col("id") % 2).cast("double"), F.lit(1.0))).alias("features"))
+    joined, own = [], type(rows).coalesce
+    monkeypatch.setattr(type(rows), "coalesce", lambda self, n: joined.append(n) or own(self, n))
+    sgd.fit_hinge(rows, "features", "label", 2, epochs=2)
+    assert joined == [8]
+    joined.clear()
+    monkeypatch.setattr(sgd, "FEW_ROWS", 63)
+    model = sgd.fit_hinge(rows, "features", "label", 2, epochs=20)[0]
+    assert joined == [] and model.labels == ["c0", "c1"]
+
+
 def test_rules_are_written_and_numbered_by_part(spark, tmp_path):
     made = spark.range(40, numPartitions=5).select(
         F.array(T.token(F.format_string("a%02d", "id"), F.lit("NNG"))).alias("before"),
