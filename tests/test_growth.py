@@ -11,8 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
-from reviewloom.operators import classify, clusters, features, paragraphs, rules, sgd
-from reviewloom.plans import checks, weighting
+from reviewloom.operators import classify, clusters, features, paragraphs, rules, sgd, vocab
+from reviewloom.plans import checks, models, weighting
 
 
 def plain_walk(vector, words, matrix, cuts, rate, rng):
@@ -58,6 +58,26 @@ def test_partitions_of_paragraphs_follow_the_words(spark, monkeypatch):
     assert max(parts) == 3
 
 
+def counting(spark):
+    """A counter and a way to count the rows that pass a column."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(words):
+        seen.add(1)
+        return words
+    return seen, F.udf(count, "array<string>").asNondeterministic()
+
+
+def test_apps_are_tokenised_once(spark, duck, monkeypatch):
+    seen, count = counting(spark)
+    own = vocab.token_rows
+    monkeypatch.setattr(vocab, "token_rows", lambda docs, *keep, **more: own(
+        docs, *keep, tokenizer=lambda text: count(T.words(text)), **more))
+    rows, words = models.app_vectors(spark, SMALL)
+    assert rows.count() and words.count()
+    assert seen.value == duck.execute("SELECT count(*) FROM documents").fetchall()[0][0]
+
+
 def test_kmeans_properties_move_all_runs_together(spark, monkeypatch):
     monkeypatch.setattr(clusters, "fit_kmeans", lambda *a, **k: pytest.fail("a fit for every run"))
     rows = checks.kmeans_properties(spark, SMALL).collect()
