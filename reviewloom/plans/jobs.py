@@ -18,6 +18,7 @@ from reviewloom.operators import (
     cooc,
     features,
     grid,
+    skipgram,
     tables,
     topics,
     vectors,
@@ -219,8 +220,8 @@ def similar_reviews(spark: SparkSession, source: str, words: Sequence[str], n: i
                     **options) -> DataFrame:
     """The n reviews nearest to a query by word vectors, (doc_id, cosine, ...)."""
     docs = _rated(spark, source)
-    model = features.fit_word_vectors(docs, **options)
-    asked = features.infer(model, docs, list(words))
+    model = skipgram.fit_word_vectors(docs, **options)
+    asked = features.infer(model, list(words))
     rows = model.transform(docs).select("doc_id", vector_to_array("vector").alias("vector"))
     return vectors.ranked_by_cosine(rows, asked, "doc_id", "vector", n)
 
@@ -239,7 +240,7 @@ def compare_models(spark: SparkSession, source: str, n: int = 12_500, good: str
           .groupBy("doc_id", "label", "te", "term").agg(F.count("*").alias("n")))
     model = bayes.fit(tf.where("NOT te"), docs.where("NOT te"), "doc_id", "label")
     by_words = bayes.predict(model, tf.where("te"), docs.where("te"), "doc_id", "label")
-    placed = features.fit_word_vectors(docs.where("NOT te"), **options).transform(docs)
+    placed = skipgram.fit_word_vectors(docs.where("NOT te"), **options).transform(docs)
     logistic = classify.fit_logistic(placed.where("NOT te"), "vector", "label")
     by_vectors = classify.predictions(logistic, placed.where("te"), "label")
     return (bayes.accuracy(by_words, "label").withColumn("model", F.lit("naive_bayes"))
