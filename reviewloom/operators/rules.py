@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -252,16 +252,19 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule], doc: str = "doc_id",
     return docs
 
 
-def rewrite_reached(docs: DataFrame, postings: DataFrame, rules: Sequence[Rule], doc: str = "doc_id",
+def rewrite_reached(docs: DataFrame | Callable[[DataFrame], DataFrame], postings: DataFrame, rules: Sequence[Rule], doc: str = "doc_id",
                     tokens: str = "tokens", split: bool = True, merge: bool = True,
                     retokenise: T.Tokenizer = T.tag_by_script, buckets: int | None = None) -> DataFrame:
     """`apply_rules` on only the documents that the inverted index names; the others are not in the result.
 
     `postings` comes from `token_postings`. Documents stored by `write_by_bucket` are read by their buckets if
-    `buckets` tells how many there are.
+    `buckets` tells how many there are. `docs` may be a function that gives the documents of a table of ids, where it
+    would cost more to make all of them.
     """
     reached = durable(reached_documents(postings, rules, doc, split, merge))
-    if buckets:
+    if callable(docs):
+        some = docs(reached)
+    elif buckets:
         some = read_reached(docs, reached, doc, buckets)
     else:
         some = docs.join(reached, doc, "left_semi").select(docs.columns)

@@ -146,3 +146,9 @@ def test_bigrams_are_joined_in_compiled_code(spark):
     pairs = corpus.pair_counts(spark.createDataFrame(texts, "doc_id long, text string"))
     assert {tuple(r) for r in pairs.collect()} == {("a b", 3), ("b a", 2), ("b c", 1)}
     assert "lambda" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reached_documents_are_not_made_again_to_be_compared(spark):
+    """Spark compared the digests below the rules, with the tagging in place of every use of the tokens."""
+    plan = corpus.rules_reached(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
